@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from vectide.functions.text import normalize_query, trimmed_lower
 from vectide.functions.timebuckets import DAY_MS, day_start, week_start
-from vectide.llm import distinct, heavy_hitters, logtables, quantiles
+from vectide.llm import curve_neighbours, distinct, heavy_hitters, logtables, mixing, packing, quantiles, segments
+from vectide.llm.tokens import n_tokens
 from vectide.session import durable
 from vectide.sources.tables import table
 
@@ -18,6 +19,34 @@ QUERY_TYPES = ("vector", "hybrid", "bm25", "rerank")
 SMALL_JOIN_ROWS = 100_000
 
 
+# Problem 1: most similar vectors
+
+
+def vector_collection(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, values): the usable vectors of products and of the current versions in arrow_utils."""
+    dim = 64
+    good = curve_neighbours.usable(F.col("values"), dim)
+    products = table(spark, folder, "products").where("id is not null").select("id", "values").where(good)
+    arrow = table(spark, folder, "arrow_utils").where("id is not null")
+    # the current version is found without moving vectors; only its own row is read again
+    row = F.struct(F.coalesce("version", F.lit(-(2**31))).alias("version"), F.coalesce("updated_at", F.timestamp_micros(F.lit(0))).alias("updated_at"), F.xxhash64("values").alias("print"))
+    tagged = arrow.select("id", "values", row.alias("row"), (~F.coalesce("deleted", F.lit(False)) & good).alias("good"))
+    last = tagged.groupBy("id").agg(F.max("row").alias("row"))
+    current = tagged.where("good").join(last, ["id", "row"], "left_semi").select("id", "values")
+    return products.unionByName(current)
+
+
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar vectors of every vector, of similarity 0.85 or more."""
+    return curve_neighbours.most_similar(vector_collection(spark, folder), k=5, min_similarity=0.85)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of similarity 0.85 or more of which one is among the other's 5 most similar."""
+    near = p1_neighbours(spark, folder)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 # Problem 2: percentiles
 
 
@@ -153,11 +182,98 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return off.select("stat_name", "database_id", "bucket_type", "time_bucket").distinct()
 
 
+# Problem 5: oversized documents
+
+
+def size_limit(spark: SparkSession, folder: str, profile: str) -> tuple[int, int]:
+    """Size and overlap of a profile of size_limits (5 rows)."""
+    row = table(spark, folder, "size_limits").where(F.col("profile") == profile).first()
+    return row["max_size"], row["overlap"]
+
+
+def current_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, status, chunk_count) of the upload of each file_path that is the latest (ties: larger doc_id); a null
+    path stands alone."""
+    own = table(spark, folder, "documents")
+    path = F.coalesce(F.concat(F.lit("p"), "file_path"), F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    return own.groupBy(path.alias("path")).agg(F.max(F.struct("uploaded_at", "doc_id", "status", "chunk_count")).alias("r")).select("r.doc_id", "r.status", "r.chunk_count")
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each current document is cut: offsets, boundary and counts of its pieces."""
+    limit, overlap = size_limit(spark, folder, "chunk")
+    cut = segments.pieces(table(spark, folder, "documents"), "doc_id", "text", limit, overlap)
+    return cut.join(current_documents(spark, folder).select("doc_id"), "doc_id", "left_semi")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Current documents that must be split, that have a stretch without boundary, or that count too few chunks."""
+    limit, overlap = size_limit(spark, folder, "chunk")
+    cut = segments.pieces(table(spark, folder, "documents"), "doc_id", "text", limit, overlap).where("piece = 0")
+    both = cut.select("doc_id", "n_pieces", "length", "unbroken").join(current_documents(spark, folder), "doc_id")
+    least = F.when(F.col("n_pieces") == 1, F.lit(1)).otherwise(F.ceil((F.col("length") - overlap) / (limit - overlap)))
+    findings = {"must_split": F.col("n_pieces") > 1, "no_boundary": F.col("unbroken") > limit, "undercount": (F.col("status") == "complete") & (F.col("chunk_count") < least)}
+    named = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in findings.items()]))
+    return both.select("doc_id", F.explode(named).alias("finding"))
+
+
+# Problem 6: containers
+
+
+def sized_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, cluster, n_tokens): cluster is that of documents with the same words."""
+    own = table(spark, folder, "documents")
+    words = F.lower(F.btrim(F.regexp_replace("text", r"\s+", " ")))
+    return own.select("doc_id", trimmed_lower(F.col("source")).alias("source"), F.hex(F.xxhash64(words)).alias("cluster"), n_tokens(F.col("text")).alias("n_tokens"))
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in the containers; no container holds two copies of one text."""
+    capacity, _ = size_limit(spark, folder, "container")
+    return packing.pack(sized_documents(spark, folder), "doc_id", "n_tokens", capacity, "source", "cluster")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that the packing cut."""
+    return p6_containers(spark, folder).where("n_parts > 1").select(F.col("item_id").alias("doc_id")).distinct()
+
+
+# Problem 7: mixes
+
+
+def mixes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(sized_documents(spark, folder).select("doc_id", "source", "n_tokens"), table(spark, folder, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each mix uses each document."""
+    return mixes(spark, folder)[0]
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares wanted and reached."""
+    return mixes(spark, folder)[1]
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that stay below their target although every document is used max_uses times."""
+    return p7_report(spark, folder).where(~F.col("enough")).select("mix_id", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
     "p2_found": p2_found,
     "p2_percentiles": p2_percentiles,
     "p3_found": p3_found,
     "p3_frequent": p3_frequent,
     "p4_found": p4_found,
     "p4_distinct": p4_distinct,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
+    "p6_containers": p6_containers,
+    "p7_found": p7_found,
+    "p7_selection": p7_selection,
+    "p7_report": p7_report,
 }

@@ -26,6 +26,13 @@ sums AS (SELECT scope, time_bucket, normalized_text, sum(wt)::BIGINT AS weight F
 tot AS (SELECT *, (sum(weight) OVER (PARTITION BY scope, time_bucket))::BIGINT AS total FROM sums)"""
 
 SQL = {
+    "p1_found": """WITH ok AS (SELECT id, "values"::DOUBLE[] AS v FROM (
+  SELECT id, any_value("values") AS "values" FROM products GROUP BY id
+  UNION ALL SELECT id, "values" FROM (SELECT * FROM arrow_utils QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1) WHERE NOT deleted)
+  WHERE len("values") = 64 AND len(list_filter("values", lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter("values", lambda x: x <> 0)) > 0),
+sims AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM ok a JOIN ok b ON a.id <> b.id),
+top AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM top WHERE s >= 0.85""",
     "p2_found": f"""WITH {_COUNTED},
 figures AS (SELECT db, bucket_type, time_bucket, {_NEAREST.format(c="total_time_ms", p=0.95)} AS p95_latency_ms,
   {_NEAREST.format(c="retrieval_time_ms", p=0.5)} AS retrieval_p50_ms, {_NEAREST.format(c="retrieval_time_ms", p=0.95)} AS retrieval_p95_ms
@@ -52,4 +59,11 @@ stored AS (SELECT 'unique_users' AS stat_name, database_id, bucket_type, time_bu
 SELECT DISTINCT s.stat_name, s.database_id, s.bucket_type, s.time_bucket FROM stored s JOIN truth t
   ON s.stat_name = t.stat_name AND s.database_id = t.db AND s.bucket_type = t.bucket_type AND s.time_bucket = t.time_bucket
 WHERE t.n >= 60 AND abs(s.s - t.v) > 0.15 * t.v""",
+    "p5_found": """WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce('p' || file_path, 'd' || doc_id) ORDER BY uploaded_at DESC NULLS LAST, doc_id DESC) AS rn
+  FROM documents) WHERE rn = 1 AND length(text) > 0),
+m AS (SELECT *, CASE WHEN length(text) > 1024 THEN ceil((length(text) - 100) / 924.0) ELSE 1 END AS least,
+  list_max(list_transform(string_split_regex(text, '[\\s。！？]'), lambda x: length(x))) AS stretch FROM d)
+SELECT doc_id, 'must_split' AS finding FROM m WHERE length(text) > 1024
+UNION ALL SELECT doc_id, 'no_boundary' FROM m WHERE stretch > 1024
+UNION ALL SELECT doc_id, 'undercount' FROM m WHERE status = 'complete' AND chunk_count < least""",
 }
