@@ -25,9 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.session import durable
+
 #: Similarity that one byte an element may be off, with five standard deviations to spare.
 BYTE_ERROR = 0.006
 BITS = 6
+SALTS = 16
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -163,42 +166,53 @@ def cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
 
 
-def most_similar(vectors: DataFrame, k: int = 10, min_similarity: float = -1.0, dim: int = 64, n_curves: int = 8, dims: int = 8, window: int = 1500, slack: int = 3, seed: int = 11) -> DataFrame:
+def prints(values: Column) -> list[Column]:
+    """Two hashes of a vector, by which rows of one vector are told from others without moving vectors."""
+    return [F.xxhash64(values).alias("p"), F.hash(values).alias("h")]
+
+
+def most_similar(vectors: DataFrame, k: int = 10, min_similarity: float = -1.0, current: DataFrame | None = None, dim: int = 64, n_curves: int = 8, dims: int = 8, window: int = 1500, slack: int = 3, seed: int = 11) -> DataFrame:
     """(id, other, similarity, rank) of the k most similar other vectors of every vector, of at least min_similarity.
 
-    vectors: id, values; one row per id and only usable vectors, or whole rows repeated. Other columns are ignored.
+    vectors: id, values; only usable rows count. current: id, p, h (see prints) of the row to take for each id; without
+    it, an id's rows must agree. Other columns are ignored.
     """
-    v = vectors.select("id", "values").withColumn("print", F.struct(F.xxhash64("values").alias("p"), F.hash("values").alias("h")))
-    # groups of equal vectors: their first k + 1 ids by order are all that a result can name
-    narrow = v.select("print", "id").distinct()
-    groups = narrow.groupBy("print").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    single = v.join(groups.select("id", "print"), ["id", "print"], "left_semi").select("id", "values").dropDuplicates(["id"])
+    rows = vectors.select("id", "values").where(F.col("id").isNotNull() & usable(F.col("values"), dim))
+    chosen = current.select("id", "p", "h") if current is not None else rows.select("id", *prints(F.col("values"))).distinct()
+    # all that follows on groups of copies works on this narrow table: every id, its group's smallest id and size
+    groups = chosen.groupBy("p", "h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    members = durable(chosen.join(groups, ["p", "h"]).select("id", "rep", "copies", "p"))
+    reps = members.where("id = rep").select("id", F.col("p").alias("rep_print"))
+    # partitioned by id alone, so that the joins below use the same exchange
+    same = F.xxhash64("values").bitwiseXOR(F.col("rep_print")) == 0
+    single = rows.join(reps, "id").where(same).select("id", "values").dropDuplicates(["id"])
     floor = max(-1.0, min_similarity - BYTE_ERROR)
     near = candidates(placed(single, dim, n_curves, dims, seed), dim, floor, k + slack, window)
     # the same pair comes from several curves and from both ends
-    pairs = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("s").alias("s"))
+    pairs = durable(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     left = single.select(F.col("id").alias("a"), F.col("values").alias("va"))
     right = single.select(F.col("id").alias("b"), F.col("values").alias("vb"))
-    exact = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") >= min_similarity)
-    both = exact.select("a", "b", "sim").unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    order = [F.round("sim", 9).desc(), F.col("other")]
-    firsts = first_ids(narrow, groups.where("copies > 1").select("print", F.col("id").alias("rep")), k + 1)
+    exact = pairs.join(left, "a").join(right, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") >= min_similarity)
+    ends = F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other_rep"), "sim"), F.struct(F.col("b").alias("rep"), F.col("a").alias("other_rep"), "sim"))
+    firsts = durable(first_ids(members.where("copies > 1"), k + 1))
     # neighbours, each with its copies, and the group's own ids; k + 1 of them, as a member drops itself
-    named = both.select(F.col("a").alias("rep"), F.col("b").alias("other_rep"), "sim").join(firsts.withColumnRenamed("rep", "other_rep").withColumnRenamed("ids", "other_ids"), "other_rep", "left")
+    named = exact.select(F.inline(ends)).join(firsts.select(F.col("rep").alias("other_rep"), F.col("ids").alias("other_ids")), "other_rep", "left")
     listed = named.select("rep", "sim", F.explode(F.coalesce("other_ids", F.array("other_rep"))).alias("other"))
     own = firsts.select("rep", F.lit(1.0).alias("sim"), F.explode("ids").alias("other"))
+    order = [F.round("sim", 9).desc(), F.col("other")]
     ranked = listed.unionByName(own).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(*order))).where(F.col("r") <= k + 1)
-    members = narrow.join(groups.where("copies > 1").select("print", F.col("id").alias("rep")), "print").select(F.col("id").alias("member"), "rep")
     tops = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("r", "other", "sim"))).alias("top"))
-    grouped = members.join(tops, "rep").select(F.col("member").alias("id"), "top")
-    alone = tops.join(firsts.select("rep"), "rep", "left_anti").select(F.col("rep").alias("id"), "top")
-    mine = grouped.unionByName(alone).select("id", F.slice(F.filter("top", lambda t: t["other"] != F.col("id")), 1, k).alias("top"))
+    # members of large groups are spread over salts
+    grouped = F.exists("top", lambda t: t["other"] == F.col("rep"))
+    salted = tops.withColumn("salt", F.explode(F.when(grouped, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    spread = members.select("id", "rep", F.when(F.col("copies") > 1, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    mine = spread.join(salted, ["rep", "salt"]).select("id", F.slice(F.filter("top", lambda t: t["other"] != F.col("id")), 1, k).alias("top"))
     return mine.select("id", F.posexplode("top").alias("rank", "t")).select("id", F.col("t.other").alias("other"), F.col("t.sim").alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
 
-def first_ids(narrow: DataFrame, groups: DataFrame, n: int, salts: int = 64) -> DataFrame:
+def first_ids(members: DataFrame, n: int) -> DataFrame:
     """(rep, ids): the n smallest ids of each group of copies, salted so that no task ranks a whole hot group."""
-    rows = narrow.join(groups, "print").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    rows = members.select("id", "rep", F.pmod(F.xxhash64("id"), F.lit(SALTS * 4)).alias("salt"))
     for keys in (["rep", "salt"], ["rep"]):
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("r") <= n)
     return rows.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids"))

@@ -22,23 +22,24 @@ SMALL_JOIN_ROWS = 100_000
 # Problem 1: most similar vectors
 
 
-def vector_collection(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, values): the usable vectors of products and of the current versions in arrow_utils."""
-    dim = 64
-    good = curve_neighbours.usable(F.col("values"), dim)
-    products = table(spark, folder, "products").where("id is not null").select("id", "values").where(good)
+def vector_collection(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(id, values) of products and arrow_utils, and (id, p, h) of the row that counts for each id: for arrow_utils
+    that of the highest version, and none if it is deleted or its vector not usable."""
+    good = curve_neighbours.usable(F.col("values"), 64)
+    own = [F.col("id"), *curve_neighbours.prints(F.col("values"))]
+    products = table(spark, folder, "products").where("id is not null")
     arrow = table(spark, folder, "arrow_utils").where("id is not null")
-    # the current version is found without moving vectors; only its own row is read again
-    row = F.struct(F.coalesce("version", F.lit(-(2**31))).alias("version"), F.coalesce("updated_at", F.timestamp_micros(F.lit(0))).alias("updated_at"), F.xxhash64("values").alias("print"))
-    tagged = arrow.select("id", "values", row.alias("row"), (~F.coalesce("deleted", F.lit(False)) & good).alias("good"))
-    last = tagged.groupBy("id").agg(F.max("row").alias("row"))
-    current = tagged.where("good").join(last, ["id", "row"], "left_semi").select("id", "values")
-    return products.unionByName(current)
+    state = (~F.coalesce("deleted", F.lit(False)) & good).alias("good")
+    newest = F.struct(F.coalesce("version", F.lit(-(2**31))).alias("version"), "updated_at", "p", "h", "good")
+    last = arrow.select(*own, "version", "updated_at", state).groupBy("id").agg(F.max(newest).alias("r")).where("r.good").select("id", "r.p", "r.h")
+    current = products.where(good).select(*own).distinct().unionByName(last)
+    return products.select("id", "values").unionByName(arrow.select("id", "values")), current
 
 
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 most similar vectors of every vector, of similarity 0.85 or more."""
-    return curve_neighbours.most_similar(vector_collection(spark, folder), k=5, min_similarity=0.85)
+    vectors, current = vector_collection(spark, folder)
+    return curve_neighbours.most_similar(vectors, k=5, min_similarity=0.85, current=current)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
