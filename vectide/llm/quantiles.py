@@ -42,8 +42,9 @@ def leaf(value: Column, scale: float = 1.0) -> Column:
 
 
 def leaf_bounds(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest whole number of each leaf."""
+    """Smallest and largest whole number of each leaf; leaves beyond that of the largest long count as that one."""
     half = 1 << (EXACT_BITS - 1)
+    leaves = np.minimum(leaves, (63 - EXACT_BITS) * half + 2 * half - 1)
     shift = np.maximum(leaves // half - 1, 0).astype(np.int64)
     mantissa = np.where(shift > 0, leaves - shift * half, leaves).astype(np.int64)
     low = mantissa << shift

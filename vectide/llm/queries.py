@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.text import normalize_query, trimmed_lower
 from vectide.functions.timebuckets import DAY_MS, day_start, week_start
-from vectide.llm import curve_neighbours, distinct, heavy_hitters, logtables, mixing, packing, quantiles, segments
+from vectide.llm import curve_neighbours, distinct, heavy_hitters, logtables, mixing, packing, quantiles, segments, subjects
 from vectide.llm.tokens import n_tokens
 from vectide.session import durable
 from vectide.sources.tables import table
@@ -261,6 +261,27 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_report(spark, folder).where(~F.col("enough")).select("mix_id", "source")
 
 
+# Problem 8: subjects
+
+
+def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects of each document with the part of its sentences that are about them."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    names = [r["subject"] for r in table(spark, folder, "subject_areas").select("subject").distinct().collect()]
+    return subjects.assign(documents, subjects.fit(documents, table(spark, folder, "doc_labels"), names))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects that at least a quarter of a document's sentences are about."""
+    return p8_subjects(spark, folder).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus by subject: documents and characters (a document with two subjects counts in both)."""
+    sizes = table(spark, folder, "documents").select("doc_id", F.length("text").alias("n"))
+    return p8_subjects(spark, folder).join(sizes, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("characters"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
@@ -277,4 +298,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_selection": p7_selection,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_subjects": p8_subjects,
+    "p8_composition": p8_composition,
 }
