@@ -1,14 +1,14 @@
 """Exact distinct counts over huge identifier sets by hash-range decomposition.
 
-The 64-bit hash range of the identifiers is cut into n_buckets disjoint ranges. Within a range, pairs of identifier
-and group are deduplicated: one row per (range, identifier, group, period) with a bit mask of the small dimensions in
-which it occurred (slot = sub-period x type). Whatever is counted afterwards (a group, all groups together, a
-sub-period, a type, any combination) is counted exactly inside each range, and the counts of the ranges are added,
-because no identifier lies in two ranges. The error is 0 by construction. The deduplicated pairs are the combinable
-partial result: those of two files, days or runs merge by `merge` (bitwise or of the masks of equal pairs).
-
-Skew: a hot identifier or group is collapsed in the map tasks before the shuffle, and afterwards has one row per
-group and period it occurs in. Nulls are not identifiers; empty inputs give no rows; repeated rows change nothing.
+Pairs of identifier and group are deduplicated: one row per (identifier, group, period) with a bit mask of the small
+dimensions in which it occurred (slot = sub-period x type). The hash range of the identifiers is then cut into
+disjoint buckets, Spark's hash partitions. Whatever is counted (a group, all groups together, a sub-period, a type, any
+combination) is counted exactly inside each bucket, without another shuffle of pairs, and the counts of the buckets
+are added, because no identifier lies in two buckets. The error is 0 by construction. The deduplicated pairs are the
+combinable partial result: those of two files, days or runs merge by `merge` (bitwise or of the masks of equal pairs).
+
+Skew: a hot identifier or group is collapsed in the map tasks before the first shuffle, and afterwards has one row
+per group and period it occurs in. Nulls are not identifiers; empty inputs give no rows; repeated rows change nothing.
 """
 
 from __future__ import annotations
@@ -19,15 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pairs(df: DataFrame, kind: str, identifier: str, group: str, period: str, slot: str, n_buckets: int = 32) -> DataFrame:
-    """(bucket, kind, identifier, grp, period, mask): slot is a number from 0 to 62, null for none of them."""
-    i = F.col(identifier)
-    picked = df.select(
-        F.pmod(F.xxhash64(i), F.lit(n_buckets)).cast("int").alias("bucket"), F.col(kind).alias("kind"), i.alias("identifier"),
-        F.col(group).alias("grp"), F.col(period).alias("period"),
-        F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(slot).cast("int")), F.lit(0).cast("long")).alias("mask"),
-    ).where("identifier is not null and period is not null")
-    return picked.groupBy("bucket", "kind", "identifier", "grp", "period").agg(F.bit_or("mask").alias("mask"))
+KEYS = ["kind", "identifier", "grp", "period"]
+
+
+def pairs(df: DataFrame, kind: str, identifier: str, group: str, period: str, slot: str) -> DataFrame:
+    """(kind, identifier, grp, period, mask): slot is a number from 0 to 62, null for none of them."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(slot).cast("int"))
+    picked = df.select(F.col(kind).alias("kind"), F.col(identifier).alias("identifier"), F.col(group).alias("grp"), F.col(period).alias("period"), F.coalesce(bit, F.lit(0).cast("long")).alias("mask"))
+    return merge([picked.where("identifier is not null and period is not null")])
 
 
 def merge(parts: Sequence[DataFrame]) -> DataFrame:
@@ -35,12 +34,19 @@ def merge(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("bucket", "kind", "identifier", "grp", "period").agg(F.bit_or("mask").alias("mask"))
+    return out.groupBy(*KEYS).agg(F.bit_or("mask").alias("mask"))
+
+
+def bucketed(deduplicated: DataFrame) -> DataFrame:
+    """The pairs in disjoint hash buckets of the identifiers."""
+    return deduplicated.repartition("kind", "identifier")
 
 
-def over_all_groups(deduplicated: DataFrame) -> DataFrame:
-    """The pairs with all groups taken together (grp 'all'): still exact, as each identifier is in one bucket."""
-    return deduplicated.groupBy("bucket", "kind", "identifier", "period").agg(F.bit_or("mask").alias("mask")).withColumn("grp", F.lit("all"))
+def with_all_groups(buckets: DataFrame) -> DataFrame:
+    """The pairs of every group and of all groups taken together (grp 'all'), still exact, as each identifier is in one
+    bucket; nothing is shuffled again."""
+    both = buckets.select("kind", "identifier", F.explode(F.array("grp", F.lit("all"))).alias("grp"), "period", "mask")
+    return both.groupBy(*KEYS).agg(F.bit_or("mask").alias("mask"))
 
 
 def any_of(slots: Sequence[int]) -> Column:
@@ -49,13 +55,12 @@ def any_of(slots: Sequence[int]) -> Column:
     return F.col("mask").bitwiseAND(F.lit(wanted).cast("long")) != 0
 
 
-def counts(deduplicated: DataFrame, slices: dict[str, Sequence[int] | None]) -> DataFrame:
+def counts(buckets: DataFrame, slices: dict[str, Sequence[int] | None]) -> DataFrame:
     """(kind, grp, period, slice, n): distinct identifiers of each slice, a set of slots (None: the whole period).
 
-    Counted in each bucket first, then added over the buckets.
+    The partial aggregation counts in each bucket; the final one adds the counts of the buckets.
     """
     named = [(F.count(F.lit(1)) if s is None else F.count_if(any_of(s))).alias(f"c{i}") for i, s in enumerate(slices.values())]
-    per_bucket = deduplicated.groupBy("bucket", "kind", "grp", "period").agg(*named)
-    added = per_bucket.groupBy("kind", "grp", "period").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(slices))])
+    added = buckets.groupBy("kind", "grp", "period").agg(*named)
     rows = F.array(*[F.struct(F.lit(name).alias("slice"), F.col(f"c{i}").alias("n")) for i, name in enumerate(slices)])
     return added.select("kind", "grp", "period", F.inline(rows)).where("n > 0")

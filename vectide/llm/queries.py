@@ -137,8 +137,8 @@ def p3_frequent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, database_id, bucket_type, time_bucket, query_type, n) for every database and all, day and week, and for
-    all databases also by query type; kind: user, session, or query (the counted rows)."""
+    """(kind, database_id, bucket_type, time_bucket, query_type, n) for every database and all, day and week, each as a
+    whole (query_type '') and by query type; kind: user, session, or query (the counted rows)."""
     log = table(spark, folder, "query_log").where("timestamp is not null")
 
     def cleaned(name: str):
@@ -149,15 +149,13 @@ def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
     number = F.coalesce(*[F.when(F.col("query_type") == t, F.lit(i)) for i, t in enumerate(QUERY_TYPES)], F.lit(len(QUERY_TYPES)))
     each = F.array(*[F.struct(F.lit(k).alias("kind"), i.alias("identifier")) for k, i in (("user", cleaned("user_id")), ("session", cleaned("session_id")), ("query", logtables.query_key()))])
     rows = log.select("database_id", week_start(F.col("timestamp")).alias("week"), (day * (len(QUERY_TYPES) + 1) + number).alias("slot"), F.inline(each))
-    own = distinct.pairs(rows, "kind", "identifier", "database_id", "week", "slot")
+    own = distinct.bucketed(distinct.pairs(rows, "kind", "identifier", "database_id", "week", "slot"))
     types = [*QUERY_TYPES, "other"]
     width = len(types)
     days = {f"{d}|": [d * width + t for t in range(width)] for d in range(7)}
     by_type = {f"{d}|{name}": [d * width + t] for d in range(7) for t, name in enumerate(types)} | {f"w|{name}": [d * width + t for d in range(7)] for t, name in enumerate(types)}
-    each_db = distinct.counts(own, {"w|": None} | days)
-    together = distinct.counts(distinct.over_all_groups(own), {"w|": None} | days | by_type)
+    both = distinct.counts(distinct.with_all_groups(own), {"w|": None} | days | by_type)
     when, kind = F.split_part("slice", F.lit("|"), F.lit(1)), F.split_part("slice", F.lit("|"), F.lit(2))
-    both = each_db.unionByName(together)
     return both.select(
         "kind", F.col("grp").alias("database_id"), F.when(when == "w", "weekly").otherwise("daily").alias("bucket_type"),
         (F.col("period") + F.coalesce(F.expr("try_cast(split_part(slice, '|', 1) as bigint)"), F.lit(0)) * DAY_MS).alias("time_bucket"), kind.alias("query_type"), "n",
