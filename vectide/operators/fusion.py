@@ -9,29 +9,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 RRF_K = 60
 ALPHA = 0.7
 FLOOR = 0.01
 TINY = 1e-9
-WHOLE = Window.partitionBy(F.lit(0))
+
+
+def whole() -> WindowSpec:
+    """All rows of a short list."""
+    return Window.partitionBy(F.lit(0))
 
 
 def ranked(scored: DataFrame, k: int | None = None) -> DataFrame:
     """With `rank` from 1; cut to k first, so that the ranking window holds k rows."""
     order = [F.desc("score"), F.col("doc_id")]
     top = scored.orderBy(*order).limit(k) if k else scored
-    return top.withColumn("rank", F.row_number().over(WHOLE.orderBy(*order)))
+    return top.withColumn("rank", F.row_number().over(whole().orderBy(*order)))
 
 
 def min_max(score: Column) -> Column:
-    low, high = F.min(score).over(WHOLE), F.max(score).over(WHOLE)
+    low, high = F.min(score).over(whole()), F.max(score).over(whole())
     return F.when(high - low < TINY, F.lit(1.0)).otherwise(FLOOR + (1 - FLOOR) * (score - low) / (high - low))
 
 
 def z_score(score: Column) -> Column:
-    sd = F.when(F.count(score).over(WHOLE) <= 1, F.lit(1.0)).otherwise(F.stddev_pop(score).over(WHOLE))
-    return F.when(sd < TINY, F.lit(0.0)).otherwise((score - F.avg(score).over(WHOLE)) / sd)
+    sd = F.when(F.count(score).over(whole()) <= 1, F.lit(1.0)).otherwise(F.stddev_pop(score).over(whole()))
+    return F.when(sd < TINY, F.lit(0.0)).otherwise((score - F.avg(score).over(whole())) / sd)
 
 
 def rrf(lists: Sequence[DataFrame], k: int = RRF_K, first_rank: int = 1, weights: Sequence[float] | None = None) -> DataFrame:
@@ -109,7 +114,7 @@ def rerank(results: DataFrame, query: Column, scorer=overlap_scorer, weight: flo
 
 def rerank_metrics(scored: DataFrame) -> DataFrame:
     """One row on a result list: population variance, spread, gap between the two best, entropy of the shares (bits)."""
-    r = ranked(scored).withColumn("share", F.col("score") / F.nullif(F.sum("score").over(WHOLE), F.lit(0.0)))
+    r = ranked(scored).withColumn("share", F.col("score") / F.nullif(F.sum("score").over(whole()), F.lit(0.0)))
     best = lambda n: F.max(F.when(F.col("rank") == n, F.col("score")))
     entropy = -F.sum(F.when(F.col("share") > 0, F.col("share") * F.log2("share")))
     return r.agg(F.var_pop("score").alias("variance"), (F.max("score") - F.min("score")).alias("spread"), F.coalesce(best(1) - best(2), F.lit(0.0)).alias("top_gap"), entropy.alias("entropy"))

@@ -6,7 +6,7 @@ import importlib
 
 from vectide.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("vector_queries", "filter_queries", "text_queries", "analytics_queries", "index_queries")
+MODULES = ("vector_queries", "filter_queries", "text_queries", "analytics_queries", "index_queries", "storage_queries")
 
 
 def _load() -> None:
