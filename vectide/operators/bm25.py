@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions.words import SEARCH_STOP_WORDS, tokens
+from vectide.session import durable
 
 
 @dataclass(frozen=True)
@@ -53,22 +54,26 @@ def term_score(tf: Column, df: Column, length: Column, n: Column, avgdl: Column,
     return idf(n, df) * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * length / avgdl))
 
 
+def whole_word(words: str) -> str:
+    """A pattern for whole tokens, in either case."""
+    return f"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])"
+
+
 def score(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text", p: Parameters = Parameters()) -> DataFrame:
     """(doc_id, score) of the documents that hold a query term, straight from the texts in one scan.
 
-    Term counts of the query are columns of each row, so that nothing is exploded; document frequencies and the mean
-    length come from one aggregation of the same columns, which are a few numbers.
+    Term counts of the query are columns of each row, found by patterns in generated code, so that nothing is split or
+    exploded; these few numbers per document are kept, as the document frequencies and the mean length need them too.
     """
     terms = query_terms(query)
     if not terms:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).where("false")
     unique = list(dict.fromkeys(terms))
-
-    def same(t: str):
-        return lambda x: x == t
-
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("w"))
-    counted = words.select("doc_id", F.size("w").alias("doc_length"), *[F.size(F.filter("w", same(t))).alias(f"tf{i}") for i, t in enumerate(unique)])
+    body = F.col(text)
+    number = lambda pattern: F.coalesce(F.regexp_count(body, F.lit(pattern)), F.lit(0))
+    length = number("[A-Za-z0-9]+") - number(whole_word("|".join(SEARCH_STOP_WORDS)))
+    counted = docs.select(F.col(doc_id).alias("doc_id"), length.alias("doc_length"), *[number(whole_word(t)).alias(f"tf{i}") for i, t in enumerate(unique)])
+    counted = durable(counted)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_length").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(unique))])
     # stats is one row
     both = counted.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(unique))])).crossJoin(F.broadcast(stats))

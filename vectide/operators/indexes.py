@@ -14,11 +14,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vectide.functions import vectors as V
 from vectide.operators import quantise
-from vectide.operators.search import batch_search
+from vectide.operators.search import batch_search, pair_schema, query_blocks
 
 SAMPLE = 20_000
 
@@ -179,10 +178,21 @@ def pq_encode(df: DataFrame, books: Codebooks) -> DataFrame:
 
 def pq_search(encoded: DataFrame, queries: DataFrame, k: int, books: Codebooks, refine: int = 10) -> DataFrame:
     """Table lookups give k x refine candidates per query and task; the survivors are reranked by exact distance."""
-    block = queries.select("id", "values").toPandas()
-    names, tables = block["id"].to_numpy(), [books.tables(np.asarray(v, float)) for v in block["values"]]
     keep = k * refine
-    schema = T.StructType([T.StructField("query_id", encoded.schema["id"].dataType), T.StructField("id", encoded.schema["id"].dataType), T.StructField("d", T.DoubleType())])
+    parts = [_pq_block(encoded, names, [books.tables(v) for v in q], keep) for names, q in query_blocks(queries)]
+    rough = parts[0] if parts else encoded.sparkSession.createDataFrame([], pair_schema(encoded.schema["id"].dataType, "d"))
+    for p in parts[1:]:
+        rough = rough.unionByName(p)
+    first = Window.partitionBy("query_id").orderBy("d", "id")
+    few = rough.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep)
+    exact = few.join(encoded.select("id", "values"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("values").alias("q")), "query_id")
+    scored = exact.select("query_id", "id", F.round(V.similarity_of_distance(V.euclidean(F.col("q"), F.col("values"))), 6).alias("similarity"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _pq_block(encoded: DataFrame, names: np.ndarray, tables: list[np.ndarray], keep: int) -> DataFrame:
+    schema = pair_schema(encoded.schema["id"].dataType, "d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = [None] * len(names)
@@ -201,13 +211,7 @@ def pq_search(encoded: DataFrame, queries: DataFrame, k: int, books: Codebooks,
             q, i, x = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(list(q)), pa.array(list(i)), pa.array(x)], names=schema.names)
 
-    rough = encoded.select("id", "codes").mapInArrow(run, schema)
-    first = Window.partitionBy("query_id").orderBy("d", "id")
-    few = rough.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep)
-    exact = few.join(encoded.select("id", "values"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("values").alias("q")), "query_id")
-    scored = exact.select("query_id", "id", F.round(V.similarity_of_distance(V.euclidean(F.col("q"), F.col("values"))), 6).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return encoded.select("id", "codes").mapInArrow(run, schema)
 
 
 # Graph
@@ -215,23 +219,28 @@ def pq_search(encoded: DataFrame, queries: DataFrame, k: int, books: Codebooks,
 
 def hnsw_search(df: DataFrame, queries: DataFrame, k: int, m: int = 16, ef: int = 64, rows_per_graph: int = 5000, seed: int = 100) -> DataFrame:
     """A navigable graph in each hash part of about rows_per_graph rows; every part is searched and the results merge."""
-    block = queries.select("id", "values").toPandas()
-    names, asked = block["id"].to_numpy(), np.stack(block["values"].to_numpy()).astype(np.float32) if len(block) else np.zeros((0, 1), np.float32)
     parts = max(1, math.ceil(df.count() / rows_per_graph))
-    schema = T.StructType([T.StructField("query_id", df.schema["id"].dataType), T.StructField("id", df.schema["id"].dataType), T.StructField("similarity", T.DoubleType())])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, x = group["id"].to_numpy(), np.stack(group["values"].to_numpy()).astype(np.float32)
-        graph = Graph(x, m, seed)
-        out = []
-        for name, q in zip(names, asked):
-            out += [(name, ids[i], round(1 / (1 + d), 6)) for d, i in graph.search(q, ef) if ids[i] != name][:k]
-        return pd.DataFrame(out, columns=schema.names)
-
     rows = df.where("values is not null").select("id", "values", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    found = rows.groupBy("part").applyInPandas(run, schema)
+    schema = pair_schema(df.schema["id"].dataType, "similarity")
+    out = None
+
+    def searching(names: np.ndarray, asked: np.ndarray):
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            ids, x = group["id"].to_numpy(), np.stack(group["values"].to_numpy()).astype(np.float32)
+            graph = Graph(x, m, seed)
+            found = []
+            for name, q in zip(names, asked.astype(np.float32)):
+                found += [(name, ids[i], round(1 / (1 + d), 6)) for d, i in graph.search(q, ef) if ids[i] != name][:k]
+            return pd.DataFrame(found, columns=schema.names)
+
+        return run
+
+    for names, asked in query_blocks(queries):
+        part = rows.groupBy("part").applyInPandas(searching(names, asked), schema)
+        out = part if out is None else out.unionByName(part)
+    out = df.sparkSession.createDataFrame([], schema) if out is None else out
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 class Graph:

@@ -98,69 +98,108 @@ def sharded(df: DataFrame, query: Sequence[float], k: int, shard: Column, id_col
 BLOCK = 4096
 
 
-def batch_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_column: str = "id", values: str = "values", threshold: float | None = None) -> DataFrame:
-    """(query_id, id, similarity, rank): the k best rows of corpus for every query, the query's own id left out.
-
-    Queries go in blocks of at most BLOCK vectors, each held by every task while it scans its part of the corpus by
-    matrix products; a task sends k rows per query to the merge. Null vectors and other dimensions are left out.
-    """
+def query_blocks(queries: DataFrame, id_column: str = "id", values: str = "values", block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries in blocks of about `block` vectors, however many there are. Null vectors are left out."""
     rows = queries.select(F.col(id_column).alias("query_id"), F.col(values).alias("v")).where("v is not null")
-    number = rows.count()
-    blocks = max(1, math.ceil(number / BLOCK))
-    out = None
+    blocks = max(1, math.ceil(rows.count() / block))
     for b in range(blocks):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        part = _block(corpus, own.toPandas(), k, metric, id_column, values, threshold, rows.schema["query_id"].dataType)
-        out = part if out is None else out.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        own = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toPandas()
+        if len(own):
+            dim = len(own["v"].iloc[0])
+            own = own[[len(v) == dim for v in own["v"]]]
+            yield own["query_id"].to_numpy(), np.stack(own["v"].to_numpy()).astype(float)
+
 
+def pair_schema(id_type: T.DataType, score: str) -> T.StructType:
+    return T.StructType([T.StructField("query_id", id_type), T.StructField("id", id_type), T.StructField(score, T.DoubleType())])
 
-def _block(corpus: DataFrame, block, k: int, metric: str, id_column: str, values: str, threshold: float | None, query_type: T.DataType) -> DataFrame:
-    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", corpus.schema[id_column].dataType), T.StructField("similarity", T.DoubleType())])
-    dim = len(block["v"].iloc[0]) if len(block) else 0
-    block = block[[v is not None and len(v) == dim for v in block["v"]]] if len(block) else block
-    names = block["query_id"].to_numpy()
-    q = np.stack(block["v"].to_numpy()).astype(float) if len(block) else np.zeros((0, 0))
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+def _similarities(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "euclidean":
+        d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
+        return np.round(1 / (1 + np.sqrt(d)), 6)
+    if metric == "cosine":
+        q, x = _unit(q), _unit(x)
+    return np.round(q @ x.T, 6)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _scored(corpus: DataFrame, names: np.ndarray, q: np.ndarray, id_column: str, values: str, metric: str, pick, rest) -> DataFrame:
+    """A pass over the corpus with one block of queries. pick(similarities, ids) is called per 4096 rows and rest() at
+    the end of a task; both give lists of (query number, id, similarity)."""
+    id_type = corpus.schema[id_column].dataType
+    schema, dim = pair_schema(id_type, "similarity"), q.shape[1]
+    arrow = T_ARROW(id_type)
+
+    def out(found: list) -> Iterator[pa.RecordBatch]:
+        if found:
+            j, i, s = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in j], arrow), pa.array(i, arrow), pa.array(s, pa.float64())], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = np.zeros((len(q), 0))
-        best_i: list = [[] for _ in range(len(q))]
-        own_q = unit(q) if metric == "cosine" else q
+        state: dict = {}
         for batch in batches:
             frame = batch.to_pandas()
             frame = frame[[v is not None and len(v) == dim for v in frame["v"]]]
             for at in range(0, len(frame), 4096):
                 part = frame.iloc[at : at + 4096]
-                x = np.stack(part["v"].to_numpy()).astype(float)
-                if metric == "euclidean":
-                    d = np.maximum((own_q * own_q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * own_q @ x.T, 0)
-                    s = 1 / (1 + np.sqrt(d))
-                else:
-                    s = own_q @ (unit(x) if metric == "cosine" else x).T
-                s = np.round(s, 6)
                 ids = part["i"].to_numpy()
+                s = _similarities(q, np.stack(part["v"].to_numpy()).astype(float), metric)
                 s[names[:, None] == ids[None, :]] = -np.inf
-                keep = min(k, s.shape[1])
-                for j in range(len(q)):
-                    limit = np.partition(s[j], -keep)[-keep]
-                    at_least = np.nonzero((s[j] >= limit) & np.isfinite(s[j]))[0]
-                    best_i[j] += [(-s[j][c], ids[c]) for c in at_least]
-                    if len(best_i[j]) > 4 * k:
-                        best_i[j] = sorted(best_i[j])[:k]
-        out = [(names[j], i, -s) for j in range(len(q)) for s, i in sorted(best_i[j])[:k] if threshold is None or -s >= threshold]
-        if out:
-            a, b, c = zip(*out)
-            types = pa.schema([("a", T_ARROW(query_type)), ("b", T_ARROW(schema["id"].dataType)), ("c", pa.float64())])
-            yield pa.RecordBatch.from_arrays([pa.array(a, types.field(0).type), pa.array(b, types.field(1).type), pa.array(c, pa.float64())], names=schema.names)
+                yield from out(pick(state, s, ids))
+        yield from out(rest(state))
 
     return corpus.select(F.col(id_column).alias("i"), F.col(values).alias("v")).mapInArrow(run, schema)
 
 
+def _union(parts: list[DataFrame], corpus: DataFrame, id_column: str) -> DataFrame:
+    if not parts:
+        return corpus.sparkSession.createDataFrame([], pair_schema(corpus.schema[id_column].dataType, "similarity"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def batch_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_column: str = "id", values: str = "values", threshold: float | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank): the k best rows of corpus for every query, the query's own id left out.
+
+    Queries go in blocks of about BLOCK vectors, each held by every task while it scans its part of the corpus by
+    matrix products; a task sends k rows per query to the merge. Null vectors and other dimensions are left out.
+    """
+
+    def pick(state: dict, s: np.ndarray, ids: np.ndarray) -> list:
+        keep = min(k, s.shape[1])
+        edge = np.partition(s, -keep, axis=1)[:, -keep]
+        for j in range(len(s)):
+            hits = np.nonzero((s[j] >= edge[j]) & np.isfinite(s[j]))[0]
+            own = state.setdefault(j, [])
+            own += [(-s[j][c], ids[c]) for c in hits]
+            if len(own) > 4 * k:
+                state[j] = sorted(own)[:k]
+        return []
+
+    def rest(state: dict) -> list:
+        return [(j, i, -s) for j, own in state.items() for s, i in sorted(own)[:k] if threshold is None or -s >= threshold]
+
+    found = _union([_scored(corpus, names, q, id_column, values, metric, pick, rest) for names, q in query_blocks(queries, id_column, values)], corpus, id_column)
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def batch_range(corpus: DataFrame, queries: DataFrame, threshold: float, metric: str = "cosine", id_column: str = "id", values: str = "values") -> DataFrame:
+    """(query_id, id, similarity) of all rows that reach the threshold for a query; nothing is held back in a task."""
+
+    def pick(state: dict, s: np.ndarray, ids: np.ndarray) -> list:
+        return [(j, ids[c], s[j, c]) for j, c in zip(*np.nonzero(s >= threshold))]
+
+    return _union([_scored(corpus, names, q, id_column, values, metric, pick, lambda state: []) for names, q in query_blocks(queries, id_column, values)], corpus, id_column)
+
+
 def T_ARROW(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

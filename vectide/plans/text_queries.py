@@ -13,7 +13,8 @@ from vectide.operators import fusion as U
 from vectide.operators import search as S
 from vectide.plans.registry import query
 from vectide.plans.vector_queries import COS, L2, embeddings, probe
-from vectide.sources.tables import table
+from vectide.session import durable
+from vectide.sources.tables import spread, table
 
 ASK = "payslip notice period for the referral bonus payslip"
 STOP = "(" + ", ".join(f"'{w}'" for w in SEARCH_STOP_WORDS) + ")"
@@ -31,18 +32,19 @@ mb AS (SELECT doc_id, 0.01 + 0.99 * (score - min(score) OVER ()) / (max(score) O
 
 
 def documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def keyword(spark, d, k: int = 100):
+    """The k best documents for the query, kept, as fusion reads a candidate list more than once."""
     scored = B.score(documents(spark, d), ASK)
-    return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    return durable(scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k))
 
 
 def nearest(spark, d, k: int = 100):
     """Vector candidates among the documents that have a vector."""
     own = embeddings(spark, d).join(documents(spark, d).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    return S.search(own, probe(spark, d), S.SearchOptions(top_k=k, threshold=0.0), "vec_id", "embedding").select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"))
+    return durable(S.search(own, probe(spark, d), S.SearchOptions(top_k=k, threshold=0.0), "vec_id", "embedding").select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score")))
 
 
 @query("tokenize", f"SELECT doc_id, len({TOK.format('text')}) AS n, md5(array_to_string({TOK.format('text')}, ' ')) AS words FROM documents")

@@ -68,7 +68,7 @@ def batch(name: str, metric: str, sql: str) -> None:
   WHERE similarity >= 0.4""")
     def run(spark, d):
         e = embeddings(spark, d)
-        return S.batch_search(e, e.where("vec_id % 100 = 0"), k=1_000_000_000, metric=metric, id_column="vec_id", values="embedding", threshold=0.4).drop("rank")
+        return S.batch_range(e, e.where("vec_id % 100 = 0"), 0.4, metric, "vec_id", "embedding")
 
 
 batch("vec_batch_cosine", "cosine", "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)")
