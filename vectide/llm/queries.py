@@ -12,7 +12,7 @@ from vectide.functions.timebuckets import DAY_MS, day_start, week_start
 from vectide.llm import curve_neighbours, distinct, heavy_hitters, logtables, mixing, packing, quantiles, segments, subjects
 from vectide.llm.tokens import n_tokens
 from vectide.session import durable
-from vectide.sources.tables import table
+from vectide.sources.tables import spread, table
 
 JUDGED = 60
 QUERY_TYPES = ("vector", "hybrid", "bm25", "rerank")
@@ -201,14 +201,14 @@ def current_documents(spark: SparkSession, folder: str) -> DataFrame:
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Where each current document is cut: offsets, boundary and counts of its pieces."""
     limit, overlap = size_limit(spark, folder, "chunk")
-    cut = segments.pieces(table(spark, folder, "documents"), "doc_id", "text", limit, overlap)
+    cut = segments.pieces(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text", limit, overlap)
     return cut.join(current_documents(spark, folder).select("doc_id"), "doc_id", "left_semi")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Current documents that must be split, that have a stretch without boundary, or that count too few chunks."""
     limit, overlap = size_limit(spark, folder, "chunk")
-    cut = segments.pieces(table(spark, folder, "documents"), "doc_id", "text", limit, overlap).where("piece = 0")
+    cut = segments.pieces(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text", limit, overlap).where("piece = 0")
     both = cut.select("doc_id", "n_pieces", "length", "unbroken").join(current_documents(spark, folder), "doc_id")
     least = F.when(F.col("n_pieces") == 1, F.lit(1)).otherwise(F.ceil((F.col("length") - overlap) / (limit - overlap)))
     findings = {"must_split": F.col("n_pieces") > 1, "no_boundary": F.col("unbroken") > limit, "undercount": (F.col("status") == "complete") & (F.col("chunk_count") < least)}
@@ -221,7 +221,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def sized_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, source, cluster, n_tokens): cluster is that of documents with the same words."""
-    own = table(spark, folder, "documents")
+    own = spread(table(spark, folder, "documents").select("doc_id", "source", "text"))
     words = F.lower(F.btrim(F.regexp_replace("text", r"\s+", " ")))
     return own.select("doc_id", trimmed_lower(F.col("source")).alias("source"), F.hex(F.xxhash64(words)).alias("cluster"), n_tokens(F.col("text")).alias("n_tokens"))
 
@@ -264,7 +264,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
     """Subjects of each document with the part of its sentences that are about them."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
     names = [r["subject"] for r in table(spark, folder, "subject_areas").select("subject").distinct().collect()]
     return subjects.assign(documents, subjects.fit(documents, table(spark, folder, "doc_labels"), names))
 
