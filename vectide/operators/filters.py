@@ -1,7 +1,8 @@
 """Metadata filters compiled to one boolean column, which the optimizer pushes into the scan where it can.
 
 A condition reads a field path; a missing or null scalar reads as the empty string, so only the existence tests tell
-null from a value. A condition that cannot hold for lack of a usable value is false, never null.
+null from a value. Where a condition cannot hold for lack of a value, its column may be null, which a filter, AND and OR
+take as false: the plain comparison that is left is what Parquet's statistics can prune by.
 """
 
 from __future__ import annotations
@@ -78,10 +79,12 @@ class Compiler:
         column, is_array = self.resolve(c.field)
         if is_array:
             return F.coalesce(self._array(column, c), F.lit(False))
-        text = F.coalesce(column.cast("string"), F.lit(""))
+        kind = self.schema[c.field.removeprefix("metadata.")].dataType if c.field.removeprefix("metadata.") in self.schema.names else None
+        own = column.cast("string")
+        text = F.coalesce(own, F.lit(""))
         match c.op:
             case "EQUALS":
-                return text == F.lit(_text(c.value))
+                return (own if _text(c.value) else text) == F.lit(_text(c.value))
             case "NOT_EQUALS":
                 return text != F.lit(_text(c.value))
             case "CONTAINS":
@@ -89,7 +92,7 @@ class Compiler:
             case "NOT_CONTAINS":
                 return ~F.contains(text, F.lit(_text(c.value)))
             case "IN":
-                return text.isin(*map(_text, c.values))
+                return (text if "" in c.values else own).isin(*map(_text, c.values))
             case "NOT_IN":
                 return ~text.isin(*map(_text, c.values))
             case "EXISTS":
@@ -108,9 +111,9 @@ class Compiler:
             bound = float(c.value)
         except (TypeError, ValueError):
             return F.lit(False)
-        number = column.try_cast("double")
+        number = column.cast("double") if isinstance(kind, T.NumericType) else column.try_cast("double")
         ordered = {"GREATER_THAN": number > bound, "GREATER_THAN_OR_EQUAL": number >= bound, "LESS_THAN": number < bound, "LESS_THAN_OR_EQUAL": number <= bound}
-        return F.coalesce(ordered[c.op], F.lit(False))
+        return ordered[c.op]
 
     def _array(self, column: Column, c: Condition) -> Column:
         has = lambda v: F.array_contains(column, F.lit(_text(v)))
