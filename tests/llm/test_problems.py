@@ -24,12 +24,10 @@ def brute_neighbours(vectors, k, floor):
     ids = sorted(vectors)
     x = np.array([vectors[i] for i in ids], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    s = x @ x.T
-    out = set()
-    for a in range(len(ids)):
-        order = sorted((b for b in range(len(ids)) if b != a), key=lambda b: (-round(s[a, b], 9), ids[b]))[:k]
-        out |= {(ids[a], ids[b]) for b in order if s[a, b] >= floor}
-    return out
+    s = np.round(x @ x.T, 9)
+    np.fill_diagonal(s, -2)
+    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return {(ids[a], ids[b]) for a in range(len(ids)) for b in order[a] if s[a, b] >= floor}
 
 
 def clustered(n, dim, seed):
@@ -53,9 +51,9 @@ def test_neighbours_with_floor_are_exact_on_a_small_table(spark):
 
 
 def test_neighbours_recall_with_windows_far_smaller_than_the_table(spark):
-    x = clustered(4000, 64, 2)
+    x = clustered(2500, 64, 2)
     data = {f"v{i:05d}": x[i].tolist() for i in range(len(x))}
-    got = curve_neighbours.most_similar(spark.createDataFrame(list(data.items()), VEC), k=3, window=150)
+    got = curve_neighbours.most_similar(spark.createDataFrame(list(data.items()), VEC), k=3, window=100)
     found = {(r["id"], r["other"]) for r in got.collect()}
     true = brute_neighbours(data, 3, -1)
     assert len(found & true) / len(true) >= 0.9
@@ -145,7 +143,7 @@ def test_frequent_items_against_counting(spark):
     df = spark.createDataFrame(data, "w int, t string")
     stream = heavy_hitters.streams(df, ["w"], "t")
     got = heavy_hitters.verified(stream, heavy_hitters.candidates(stream, ["w"], 0.007, width=1 << 12), ["w"], 0.007)
-    true = Counter(d for d in data if d[1])
+    true = Counter(d for d in data if d[1] and d[0])
     totals = Counter(d[0] for d in data if d[1])
     want = {k: n for k, n in true.items() if n >= 0.007 * totals[k[0]]}
     seen = {(r["w"], r["item"]): r for r in got.collect()}

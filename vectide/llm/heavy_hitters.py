@@ -10,7 +10,7 @@ Bounds: an estimate is never below the true weight, and above it by more than e
 probability at most exp(-depth). A value with at least `share` of a group's weight is in some list, because at most
 1 / (share - e / width) values of a stream can have an estimate as large, fewer than `capacity` = 2 / share.
 
-Null values are left out; null or non-positive weights count as nothing; ties in the list go to the smaller value.
+Null values and rows with a null group are left out; null or non-positive weights count as nothing; ties in the list go to the smaller value.
 A group without values gives no row.
 """
 
@@ -67,7 +67,7 @@ def combine(df: DataFrame, groups: Sequence[str]) -> DataFrame:
 def streams(df: DataFrame, groups: Sequence[str], item: str, weight: str | None = None) -> DataFrame:
     """(groups, item, weight, h), combined per batch and hash-partitioned by item: one value, one stream."""
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    rows = df.select(*groups, F.col(item).alias("item"), w.alias("weight")).where("item is not null and weight > 0")
+    rows = df.select(*groups, F.col(item).alias("item"), w.alias("weight")).where("item is not null and weight > 0").dropna(subset=list(groups))
     return combine(rows, groups).withColumn("h", F.xxhash64("item")).repartition("h")
 
 
