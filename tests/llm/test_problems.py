@@ -268,6 +268,12 @@ def test_packing_is_whole_tight_and_free_of_conflicts(spark):
     assert used <= 1.02 * math.ceil(sum(d[1] for d in data) / 1000) + 1 and len(bins) >= used
 
 
+def test_a_hot_cluster_is_packed_in_linear_time():
+    n = 60_000
+    where, rests = packing.best_fit([600] * n + [300] * n, [0] * n + [-1] * n, [3] * n + [-1] * n, [0], 1000)
+    assert len(set(where[:n])) == n == len(rests) and set(rests) == {100}
+
+
 def test_packing_defined_cases(spark):
     data = [(1, None, "a", None), (2, 0, "a", None), (3, -4, None, None), (4, 2500, None, None), (5, 1000, "a", "c"), (6, 10, "a", "c"), (7, 10, "a", "c")]
     df = spark.createDataFrame(data, "n bigint, shard int, src string, cl string")

@@ -76,7 +76,7 @@ def report(selected: DataFrame, planned: DataFrame) -> DataFrame:
     both = planned.join(reached, ["mix_id", "source"], "left")
     tokens = F.coalesce("tokens", F.lit(0))
     share = tokens / F.nullif(F.sum(tokens).over(Window.partitionBy("mix_id")), F.lit(0))
-    return both.select("mix_id", "source", "target_share", "wanted", "available", "enough", tokens.alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), share.alias("actual_share"))
+    return both.select("mix_id", "source", "target_share", "max_uses", "wanted", "available", "enough", tokens.alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), share.alias("actual_share"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -1,15 +1,15 @@
 """Filling containers of fixed capacity: conflict-constrained best fit, largest items first.
 
-Items are spread over shards by a hash of their id; a shard holds about `shard_containers` containers' worth, so a
-shard's size does not grow with the data and a hot source or cluster is spread over all shards. Within a shard the
-open bins are ordered by what is left in them. Each bin carries a bitmap of the sources and a bitmap of the duplicate
-clusters in it. An item goes to the tightest bin that can take it: the search starts at the successor of its size
-and goes on while the bin holds a member of the item's duplicate cluster or a source that must not share a
-container with the item's. If there is none, a new bin is opened.
+Items are spread over shards by a hash of id and row; a shard holds about `shard_containers` containers' worth and at
+most about SHARD_ITEMS items, so a shard's size does not grow with the data, and a hot source, cluster or id is spread
+over all shards. Within a shard the open bins are ordered by what is left in them. Each bin carries a bitmap of the
+sources and a bitmap of the duplicate clusters in it. An item goes to the tightest bin that can take it: the search
+starts at the successor of its size and goes on while the bin holds a member of the item's duplicate cluster or a source
+that must not share a container with the item's. If there is none, a new bin is opened.
 
 Only items larger than a container are cut: into full containers and a rest, which is packed like an item.
 Defined cases: null and non-positive sizes are not packed; a null source or cluster conflicts with nothing; ties in
-size go by id; repeated rows are items of their own; empty input gives no rows.
+size go by cluster, source and id; repeated rows are items of their own; empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -25,24 +25,33 @@ from pyspark.sql import types as T
 
 from vectide.session import durable
 
+#: Items of a shard at most, about, however small they are.
+SHARD_ITEMS = 200_000
+
 
 def best_fit(sizes: Sequence[int], sources: Sequence[int], clusters: Sequence[int], forbidden: Sequence[int], capacity: int) -> tuple[list[int], list[int]]:
     """Bin of each item, and what is left in each bin. sources and clusters: bit numbers, -1 for none; forbidden:
-    for each source the bitmap of those it must not meet. The items come largest first."""
+    for each source the bitmap of those it must not meet. The items come largest first, copies in one run."""
     left: list[tuple[int, int]] = []
     in_bin: list[list[int]] = []
     where: list[int] = []
+    before, resume = None, (0, -1)
     for size, source, cluster in zip(sizes, sources, clusters):
         own_source, own_cluster = (1 << source if source >= 0 else 0), (1 << cluster if cluster >= 0 else 0)
         bad = forbidden[source] if source >= 0 else 0
-        at = bisect_left(left, (size, -1))
+        # a run of copies goes on where the last one's search ended: the bins before hold the cluster already
+        kind = (size, source, cluster) if cluster >= 0 else None
+        at = bisect_left(left, resume if kind and kind == before else (size, -1))
         while at < len(left) and (in_bin[left[at][1]][0] & bad or in_bin[left[at][1]][1] & own_cluster):
             at += 1
         if at < len(left):
-            rest, number = left.pop(at)
+            resume = left.pop(at)
+            rest, number = resume
         else:
             rest, number = capacity, len(in_bin)
+            resume = (capacity + 1, -1)
             in_bin.append([0, 0])
+        before = kind
         in_bin[number][0] |= own_source
         in_bin[number][1] |= own_cluster
         insort(left, (rest - size, number))
@@ -65,17 +74,17 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, source: str |
         F.col(item_id).alias("item_id"), F.col(size).cast("long").alias("size"), (F.col(source).cast("string") if source else none).alias("source"),
         (F.col(cluster).cast("string") if cluster else none).alias("cluster"),
     ).where("size > 0"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, math.ceil(total / (capacity * shard_containers)))
+    total, number = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    shards = max(1, math.ceil(total / (capacity * shard_containers)), math.ceil(number / SHARD_ITEMS))
     whole = F.floor((F.col("size") - 1) / capacity)
     rest = F.col("size") - whole * capacity
-    tagged = rows.select("*", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard"), whole.cast("int").alias("full"), rest.alias("rest"))
+    tagged = rows.select("*", F.pmod(F.xxhash64("item_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), whole.cast("int").alias("full"), rest.alias("rest"))
     fields = [("shard", T.IntegerType()), ("container", T.LongType()), ("item_id", rows.schema["item_id"].dataType), ("part", T.IntegerType()), ("n_parts", T.IntegerType()), ("part_size", T.LongType()), ("used", T.LongType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
     pairs = [tuple(p) for p in apart]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rest", "item_id"], ascending=[False, True], kind="stable")
+        group = group.sort_values(["rest", "cluster", "source", "item_id"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         names = {s: i for i, s in enumerate(sorted(group["source"].dropna().unique()))}
         forbidden = [0] * len(names)
         for a, b in pairs:

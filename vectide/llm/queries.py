@@ -255,8 +255,9 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources that stay below their target although every document is used max_uses times."""
-    return p7_report(spark, folder).where(~F.col("enough")).select("mix_id", "source")
+    """Sources that stay below their target in the mix although it uses every document max_uses times."""
+    exhausted = F.col("tokens") == F.col("available") * F.col("max_uses")
+    return p7_report(spark, folder).where(exhausted & (F.col("tokens") < F.col("wanted"))).select("mix_id", "source")
 
 
 # Problem 8: subjects
