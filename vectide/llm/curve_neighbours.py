@@ -159,11 +159,27 @@ def candidates(curves: DataFrame, dim: int, floor: float, keep: int, window: int
     return curves.repartitionByRange("curve", "pos", "id").sortWithinPartitions("curve", "pos", "id").mapInArrow(run, schema)
 
 
-def cosine(x: Column, y: Column) -> Column:
-    def dot(p: Column, q: Column) -> Column:
-        return F.aggregate(F.zip_with(p, q, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, t: s + t)
+def rerank(pairs: DataFrame, min_similarity: float, dim: int) -> DataFrame:
+    """(a, b, sim): exact cosine in double precision of pairs with their vectors (a, b, va, vb), from min_similarity on."""
+    schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("sim", T.DoubleType())])
 
-    return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (_floats(batch.column(c), dim).astype(np.float64) for c in ("va", "vb"))
+                sim = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+                out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim)], names=schema.names)
+                yield out.filter(pa.array(sim >= min_similarity))
+
+    return pairs.select("a", "b", "va", "vb").mapInArrow(run, schema)
+
+
+def merged(near: DataFrame, keep: int) -> DataFrame:
+    """(a, b), a < b, of the best `keep` candidates of each vector over all curves. One shuffle by vector."""
+    once = near.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"))
+    best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
+    few = once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep)
+    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def prints(values: Column) -> list[Column]:
@@ -171,7 +187,7 @@ def prints(values: Column) -> list[Column]:
     return [F.xxhash64(values).alias("p"), F.hash(values).alias("h")]
 
 
-def most_similar(vectors: DataFrame, k: int = 10, min_similarity: float = -1.0, current: DataFrame | None = None, dim: int = 64, n_curves: int = 8, dims: int = 8, window: int = 1500, slack: int = 3, seed: int = 11) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 10, min_similarity: float = -1.0, current: DataFrame | None = None, dim: int = 64, n_curves: int = 8, dims: int = 8, window: int = 1500, slack: int = 5, seed: int = 11) -> DataFrame:
     """(id, other, similarity, rank) of the k most similar other vectors of every vector, of at least min_similarity.
 
     vectors: id, values; only usable rows count. current: id, p, h (see prints) of the row to take for each id; without
@@ -188,11 +204,10 @@ def most_similar(vectors: DataFrame, k: int = 10, min_similarity: float = -1.0,
     single = rows.join(reps, "id").where(same).select("id", "values").dropDuplicates(["id"])
     floor = max(-1.0, min_similarity - BYTE_ERROR)
     near = candidates(placed(single, dim, n_curves, dims, seed), dim, floor, k + slack, window)
-    # the same pair comes from several curves and from both ends
-    pairs = durable(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = durable(merged(near, k + slack))
     left = single.select(F.col("id").alias("a"), F.col("values").alias("va"))
     right = single.select(F.col("id").alias("b"), F.col("values").alias("vb"))
-    exact = pairs.join(left, "a").join(right, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") >= min_similarity)
+    exact = rerank(pairs.join(left, "a").join(right, "b"), min_similarity, dim)
     ends = F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other_rep"), "sim"), F.struct(F.col("b").alias("rep"), F.col("a").alias("other_rep"), "sim"))
     firsts = durable(first_ids(members.where("copies > 1"), k + 1))
     # neighbours, each with its copies, and the group's own ids; k + 1 of them, as a member drops itself
