@@ -28,31 +28,40 @@ BREAK = re.compile(r"[\s。！？]+")
 WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_]{4,}")
 SLOTS = 128
 BLOCK = 3
+CHUNK = 4000
 
 
 def gaps_and_depths(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions after each sentence, and how deep the cohesion's valley is there."""
-    at = np.array([m.end() for m in GAP.finditer(text) if 0 < m.end() < len(text)], np.int64)
+    """Positions after each sentence, and how deep the cohesion's valley is there. Memory: CHUNK gaps at a time."""
+    at = np.fromiter((m.end() for m in GAP.finditer(text) if 0 < m.end() < len(text)), np.int64)
     if len(at) < 2:
         return at, np.zeros(len(at))
-    words = [(m.start(), zlib.crc32(m.group().lower().encode()) % SLOTS) for m in WORD.finditer(text)]
+    alike = np.concatenate([likeness(text, at, g, min(g + CHUNK, len(at))) for g in range(0, len(at), CHUNK)])
+    near = 2 * BLOCK
+    padded = np.concatenate([np.full(near, -1.0), alike, np.full(near, -1.0)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, near + 1)
+    before, after = windows[: len(alike)].max(axis=1), windows[near:].max(axis=1)
+    return at, before + after - 2 * alike
+
+
+def likeness(text: str, at: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Cosine of the bags of words of the BLOCK sentences before and after the gaps first to last - 1; gap g lies
+    between the sentences g and g + 1."""
+    lo, hi = max(first - BLOCK + 1, 0), min(last - 1 + BLOCK, len(at))
+    span = (0 if lo == 0 else int(at[lo - 1]), int(at[hi]) if hi < len(at) else len(text))
+    words = [(m.start(), zlib.crc32(m.group().lower().encode("utf-8", "replace")) % SLOTS) for m in WORD.finditer(text, *span)]
     if not words:
-        return at, np.zeros(len(at))
+        return np.zeros(last - first)
     where, slot = np.array(words, np.int64).T
-    sentence = np.searchsorted(at, where, side="right")
-    n = len(at) + 1
+    sentence = np.searchsorted(at, where, side="right") - lo
+    n = hi - lo + 1
     bags = np.bincount(sentence * SLOTS + slot, minlength=n * SLOTS).reshape(n, SLOTS).astype(np.float32)
     total = np.concatenate([np.zeros((1, SLOTS), np.float32), np.cumsum(bags, axis=0)])
-    gap = np.arange(1, n)
+    gap = np.arange(first, last) - lo + 1
     left = total[gap] - total[np.maximum(gap - BLOCK, 0)]
     right = total[np.minimum(gap + BLOCK, n)] - total[gap]
     norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
-    alike = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0)
-    near = 2 * BLOCK
-    padded = np.concatenate([np.full(near, -1.0), alike, np.full(near, -1.0)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, near + 1)
-    before, after = windows[: len(alike)].max(axis=1), windows[near:].max(axis=1)
-    return at, before + after - 2 * alike
+    return np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0)
 
 
 def cuts(text: str, max_size: int, overlap: int) -> list[tuple[int, int, str]]:
@@ -61,7 +70,7 @@ def cuts(text: str, max_size: int, overlap: int) -> list[tuple[int, int, str]]:
     if n <= max_size:
         return [(0, n, "end")] if n else []
     at, depth = gaps_and_depths(text)
-    spaces = np.array([m.end() for m in BREAK.finditer(text)], np.int64)
+    spaces = np.fromiter((m.end() for m in BREAK.finditer(text)), np.int64)
     out, cut = [], 0
     while True:
         start = max(cut - overlap, 0)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -82,15 +83,14 @@ class Bag:
 
     @staticmethod
     def of(texts: Sequence[str | None]) -> Bag:
-        slots: list[int] = []
-        starts, owner = [], []
+        slots, starts, owner = array("i"), array("q"), array("q")
         for i, text in enumerate(texts):
             for s in sentences(text) if text else ():
                 own = features(s)
                 if own:
                     starts.append(len(slots))
                     owner.append(i)
-                    slots += own
+                    slots.extend(own)
         return Bag(np.array(slots, np.int64), np.array(starts, np.int64), np.array(owner, np.int64))
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
