@@ -59,6 +59,13 @@ stored AS (SELECT 'unique_users' AS stat_name, database_id, bucket_type, time_bu
 SELECT DISTINCT s.stat_name, s.database_id, s.bucket_type, s.time_bucket FROM stored s JOIN truth t
   ON s.stat_name = t.stat_name AND s.database_id = t.db AND s.bucket_type = t.bucket_type AND s.time_bucket = t.time_bucket
 WHERE t.n >= 60 AND abs(s.s - t.v) > 0.15 * t.v""",
+    "p4_distinct": f"""WITH {_COUNTED},
+clean AS (SELECT db, bucket_type, time_bucket, CASE WHEN query_type IN ('vector', 'hybrid', 'bm25', 'rerank') THEN query_type ELSE 'other' END AS t,
+  CASE WHEN lower(trim(user_id)) NOT IN ('', 'anonymous') THEN lower(trim(user_id)) END AS u,
+  CASE WHEN lower(trim(session_id)) NOT IN ('', 'anonymous') THEN lower(trim(session_id)) END AS s FROM bucketed),
+sliced AS (SELECT *, '' AS query_type FROM clean UNION ALL SELECT *, t FROM clean)
+SELECT 'user' AS kind, db AS database_id, bucket_type, time_bucket, query_type, count(DISTINCT u) AS n_distinct FROM sliced GROUP BY ALL HAVING count(DISTINCT u) > 0
+UNION ALL SELECT 'session', db, bucket_type, time_bucket, query_type, count(DISTINCT s) FROM sliced GROUP BY ALL HAVING count(DISTINCT s) > 0""",
     "p5_found": """WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce('p' || file_path, 'd' || doc_id) ORDER BY uploaded_at DESC NULLS LAST, doc_id DESC) AS rn
   FROM documents) WHERE rn = 1 AND length(text) > 0),
 m AS (SELECT *, CASE WHEN length(text) > 1024 THEN ceil((length(text) - 100) / 924.0) ELSE 1 END AS least,
