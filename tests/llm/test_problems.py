@@ -3,11 +3,12 @@
 import math
 import random
 from collections import Counter, defaultdict
+from datetime import datetime
 
 import numpy as np
 import pytest
 
-from vectide.llm import curve_neighbours, distinct, heavy_hitters, mixing, packing, quantiles, segments, subjects
+from vectide.llm import curve_neighbours, distinct, heavy_hitters, mixing, packing, quantiles, queries, segments, subjects
 from vectide.llm.tokens import counter, n_tokens
 
 VEC = "id string, values array<float>"
@@ -72,6 +73,16 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert got["b"] == ["c00", "c01", "c02"]
 
 
+def test_the_neighbours_query_has_no_floor(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(300, 64)).astype(np.float32)
+    data = {f"v{i:04d}": x[i].tolist() for i in range(300)}
+    items = list(data.items())
+    spark.createDataFrame(items[:200], VEC).write.parquet(f"{tmp_path}/products.parquet")
+    spark.createDataFrame([(i, v, 1, datetime(2024, 1, 1), False) for i, v in items[200:]], VEC + ", version int, updated_at timestamp, deleted boolean").write.parquet(f"{tmp_path}/arrow_utils.parquet")
+    assert {(r["id"], r["other"]) for r in queries.p1_neighbours(spark, str(tmp_path)).collect()} == brute_neighbours(data, 5, -1)
+    assert queries.p1_found(spark, str(tmp_path)).collect() == []
+
+
 def test_neighbours_of_nothing(spark):
     assert curve_neighbours.most_similar(spark.createDataFrame([], VEC), k=3).collect() == []
 

@@ -37,14 +37,15 @@ def vector_collection(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
 
 
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The 5 most similar vectors of every vector, of similarity 0.85 or more."""
+    """The 5 most similar vectors of every vector, however similar they are."""
     vectors, current = vector_collection(spark, folder)
-    return curve_neighbours.most_similar(vectors, k=5, min_similarity=0.85, current=current)
+    return curve_neighbours.most_similar(vectors, k=5, current=current, n_curves=16)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of similarity 0.85 or more of which one is among the other's 5 most similar."""
-    near = p1_neighbours(spark, folder)
+    vectors, current = vector_collection(spark, folder)
+    near = curve_neighbours.most_similar(vectors, k=5, min_similarity=0.85, current=current)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
