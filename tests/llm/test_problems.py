@@ -60,6 +60,25 @@ def test_neighbours_recall_with_windows_far_smaller_than_the_table(spark):
     assert len(found & true) / len(true) >= 0.9
 
 
+def with_crowd(n, dim, noise, seed):
+    """n vectors of which a third are near copies of one."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x[::3] = rng.normal(size=dim) + noise * x[::3]
+    return {f"v{i:05d}": v.tolist() for i, v in enumerate(x.astype(np.float32))}
+
+
+def crowd_recall(spark, data, **sizes):
+    got = curve_neighbours.most_similar(spark.createDataFrame(list(data.items()), VEC), k=5, min_similarity=0.85, **sizes)
+    true = {(a, b) for a, b in brute_neighbours(data, 5, 0.85) if int(a[1:]) % 3 == 0}
+    return len(true & {(r["id"], r["other"]) for r in got.collect()}) / len(true)
+
+
+@pytest.mark.parametrize("noise", [0.3, 0.1])
+def test_neighbours_in_a_crowd_of_near_copies(spark, noise):
+    assert crowd_recall(spark, with_crowd(6000, 64, noise, 5), window=60) >= 0.9
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     a = [1.0] + [0.0] * 63
     b = [1.0, 0.1] + [0.0] * 62

@@ -5,12 +5,15 @@
 2. Each vector is projected `n_curves` times to `dims` random orthogonal directions, shifted by a random offset and
    given its position on a Hilbert curve. All curves go through one range partitioning by (curve, position, id):
    partitions are of equal size whatever the data; many equal positions are cut by id.
+   Crowds (groups of near copies too large for a window, of at least LEAST_SAMPLED in SAMPLE vectors) get curves of
+   their own on the differences from their centre; their number grows with the crowd, up to MOST_CURVES.
 3. In each partition, sorted, every vector is compared with its neighbours in a window of `window` to 2 x `window`
    positions on both sides (matrix products of quantised vectors, one byte an element). Each keeps its best k + slack.
 4. Candidates of all curves merge per vector; the survivors are reranked by the exact cosine in double precision.
 
 Loss: a pair is missed only if it is apart on every curve, or straddles a partition edge on the curves that would
-have found it. Work and shuffle are proportional to vectors x curves, whatever the similarity structure.
+have found it. Work and shuffle are proportional to vectors x curves. Crowds beyond about 25 x 3 windows, or too small a
+part of the table for the sample, are covered less.
 Defined cases: a vector that is null, of another length, with a null, NaN or infinite element, or all zero is not
 usable; ties go to the smaller id (similarities are compared after rounding to 9 digits); an empty input gives no rows.
 """
@@ -18,6 +21,7 @@ usable; ties go to the smaller id (similarities are compared after rounding to 9
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,17 @@ from vectide.session import durable
 BYTE_ERROR = 0.006
 BITS = 6
 SALTS = 16
+#: Vectors of a crowd have this cosine or more; crowds are looked for in a sample of so many vectors, of which they have
+#: so many at least, and are covered so many times by the windows of their own curves, of which there are so many at most.
+CROWD, SAMPLE, LEAST_SAMPLED, COVER, MOST_CURVES = 0.7, 4096, 20, 2.5, 64
+
+
+class Crowd(NamedTuple):
+    """A group of near copies: its centre, the usual distance from it, and how many curves of its own it gets."""
+
+    centre: np.ndarray
+    spread: float
+    n_curves: int
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -71,18 +86,43 @@ def _floats(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.concatenate([a.flatten().to_numpy(zero_copy_only=False) for a in arrays] or [np.zeros(0)]).reshape(-1, dim)
 
 
-def placed(vectors: DataFrame, dim: int, n_curves: int, dims: int, seed: int) -> DataFrame:
-    """(curve, pos, id, q): each vector on every curve, quantised to one byte an element."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def crowds(sample: np.ndarray, n: int, window: int) -> list[Crowd]:
+    """Groups of near copies that no window holds, found in a sample (unit vectors) of n vectors, largest first."""
+    alike = sample @ sample.T >= CROWD
+    free = np.ones(len(sample), bool)
+    found = []
+    while free.any():
+        sizes = np.where(free, alike[:, free].sum(axis=1), 0)
+        own = alike[sizes.argmax()] & free
+        size = own.sum() / len(sample) * n
+        if own.sum() < LEAST_SAMPLED or size <= 2 * window:
+            break
+        centre = sample[own].mean(axis=0)
+        spread = np.sqrt(((sample[own] - centre) ** 2).sum(axis=1).mean())
+        if spread > 0:
+            found.append(Crowd(centre, spread, min(MOST_CURVES, int(np.ceil(COVER * size / (3 * window))))))
+        free &= ~own
+    return found
+
+
+def placed(vectors: DataFrame, dim: int, n_curves: int, dims: int, seed: int, crowded: list[Crowd] = ()) -> DataFrame:
+    """(curve, pos, id, q): each vector on every curve, quantised to one byte an element. A vector of a crowd is also
+    on the crowd's own curves, by what it differs from the centre, on the scale of the crowd."""
     schema = T.StructType([T.StructField("curve", T.ShortType()), T.StructField("pos", T.LongType()), vectors.schema["id"], T.StructField("q", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
         axes = [np.linalg.qr(rng.normal(size=(dim, dims)))[0].astype(np.float32) for _ in range(n_curves)]
         shifts = [rng.random(dims) - 0.5 for _ in range(n_curves)]
+        inner = [(np.linalg.qr(rng.normal(size=(dim, dims)))[0], rng.random(dims) - 0.5) for _ in range(sum(c.n_curves for c in crowded))]
         for batch in batches:
-            x = _floats(batch.column("values"), dim).astype(np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+            exact = _unit(_floats(batch.column("values"), dim).astype(np.float64))
+            x = exact.astype(np.float32)
             top = np.abs(x).max(axis=1, keepdims=True)
             q = np.rint(x / top * 127).astype(np.int8)
             blob = pa.Array.from_buffers(pa.binary(dim), len(x), [None, pa.py_buffer(np.ascontiguousarray(q).tobytes())]).cast(pa.binary())
@@ -91,6 +131,18 @@ def placed(vectors: DataFrame, dim: int, n_curves: int, dims: int, seed: int) ->
                 spot = x @ axes[c] * dim**0.5 / 6 + 0.5 + shifts[c] * 0.3
                 cells = (np.clip(spot, 0, 1 - 1e-6) * (1 << BITS)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int16)), pa.array(hilbert(cells)), batch.column("id"), blob], names=["curve", "pos", "id", "q"])
+            if not crowded:
+                continue
+            near = exact @ np.stack([g.centre / np.linalg.norm(g.centre) for g in crowded]).T
+            home, at = np.where(near.max(axis=1) >= CROWD, near.argmax(axis=1), -1), 0
+            for i, g in enumerate(crowded):
+                own = np.nonzero(home == i)[0]
+                rest = (exact[own] - g.centre) / g.spread
+                for c in range(at, at + g.n_curves if len(own) else at):
+                    spot = rest @ inner[c][0] * dim**0.5 / 6 + 0.5 + inner[c][1] * 0.3
+                    cells = (np.clip(spot, 0, 1 - 1e-6) * (1 << BITS)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n_curves + c, np.int16)), pa.array(hilbert(cells)), batch.column("id").take(pa.array(own)), blob.take(pa.array(own))], names=["curve", "pos", "id", "q"])
+                at += g.n_curves
 
     return vectors.select("id", "values").mapInArrow(run, schema)
 
@@ -203,7 +255,10 @@ def most_similar(vectors: DataFrame, k: int = 10, min_similarity: float = -1.0,
     same = F.xxhash64("values").bitwiseXOR(F.col("rep_print")) == 0
     single = rows.join(reps, "id").where(same).select("id", "values").dropDuplicates(["id"])
     floor = max(-1.0, min_similarity - BYTE_ERROR)
-    near = candidates(placed(single, dim, n_curves, dims, seed), dim, floor, k + slack, window)
+    some = reps.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE)
+    sample = rows.join(F.broadcast(some), "id").where(same).dropDuplicates(["id"]).select("values").toArrow()
+    crowded = crowds(_unit(_floats(sample["values"], dim).astype(np.float64)), reps.count(), window) if sample.num_rows else []
+    near = candidates(placed(single, dim, n_curves, dims, seed, crowded), dim, floor, k + slack, window)
     pairs = durable(merged(near, k + slack))
     left = single.select(F.col("id").alias("a"), F.col("values").alias("va"))
     right = single.select(F.col("id").alias("b"), F.col("values").alias("vb"))
