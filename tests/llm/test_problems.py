@@ -79,6 +79,21 @@ def test_neighbours_in_a_crowd_of_near_copies(spark, noise):
     assert crowd_recall(spark, with_crowd(6000, 64, noise, 5), window=60) >= 0.9
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.005])
+def test_neighbours_closer_than_a_byte_tells(spark, noise):
+    assert crowd_recall(spark, with_crowd(3000, 64, noise, 6)) >= 0.97
+
+
+def test_vectors_of_one_direction_are_ties(spark):
+    x = np.random.default_rng(7).normal(size=64)
+    data = {f"m{i:03d}": (x * (1 + i * 0.37)).astype(np.float32).tolist() for i in range(400)}
+    got = defaultdict(list)
+    for r in curve_neighbours.most_similar(spark.createDataFrame(list(data.items()), VEC), k=3, window=20).orderBy("id", "rank").collect():
+        got[r["id"]].append(r["other"])
+    assert len(got) == 400
+    assert sum(got[i] == [o for o in ("m000", "m001", "m002", "m003") if o != i][:3] for i in data) >= 380
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     a = [1.0] + [0.0] * 63
     b = [1.0, 0.1] + [0.0] * 62

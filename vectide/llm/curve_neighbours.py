@@ -8,7 +8,8 @@
    Crowds (groups of near copies too large for a window, of at least LEAST_SAMPLED in SAMPLE vectors) get curves of
    their own on the differences from their centre; their number grows with the crowd, up to MOST_CURVES.
 3. In each partition, sorted, every vector is compared with its neighbours in a window of `window` to 2 x `window`
-   positions on both sides (matrix products of quantised vectors, one byte an element). Each keeps its best k + slack.
+   positions on both sides (matrix products of quantised vectors, two bytes an element). Each keeps its best k + slack.
+   Vectors that differ in magnitude only are exact ties: the first ids of each direction are candidates as well.
 4. Candidates of all curves merge per vector; the survivors are reranked by the exact cosine in double precision.
 
 Loss: a pair is missed only if it is apart on every curve, or straddles a partition edge on the curves that would
@@ -31,8 +32,10 @@ from pyspark.sql import types as T
 
 from vectide.session import durable
 
-#: Similarity that one byte an element may be off, with five standard deviations to spare.
-BYTE_ERROR = 0.006
+#: Similarity that two bytes an element may be off, with five standard deviations to spare.
+QUANTISED_ERROR = 0.00003
+#: Above this similarity the cosines of a window are computed in double precision.
+CLOSE = 0.999
 BITS = 6
 SALTS = 16
 #: Vectors of a crowd have this cosine or more; crowds are looked for in a sample of so many vectors, of which they have
@@ -111,7 +114,7 @@ def crowds(sample: np.ndarray, n: int, window: int) -> list[Crowd]:
 
 
 def placed(vectors: DataFrame, dim: int, n_curves: int, dims: int, seed: int, crowded: list[Crowd] = ()) -> DataFrame:
-    """(curve, pos, id, q): each vector on every curve, quantised to one byte an element. A vector of a crowd is also
+    """(curve, pos, id, q): each vector on every curve, quantised to two bytes an element. A vector of a crowd is also
     on the crowd's own curves, by what it differs from the centre, on the scale of the crowd."""
     schema = T.StructType([T.StructField("curve", T.ShortType()), T.StructField("pos", T.LongType()), vectors.schema["id"], T.StructField("q", T.BinaryType())])
 
@@ -123,9 +126,8 @@ def placed(vectors: DataFrame, dim: int, n_curves: int, dims: int, seed: int, cr
         for batch in batches:
             exact = _unit(_floats(batch.column("values"), dim).astype(np.float64))
             x = exact.astype(np.float32)
-            top = np.abs(x).max(axis=1, keepdims=True)
-            q = np.rint(x / top * 127).astype(np.int8)
-            blob = pa.Array.from_buffers(pa.binary(dim), len(x), [None, pa.py_buffer(np.ascontiguousarray(q).tobytes())]).cast(pa.binary())
+            q = np.rint(exact / np.abs(exact).max(axis=1, keepdims=True) * 32767).astype("<i2")
+            blob = pa.Array.from_buffers(pa.binary(2 * dim), len(x), [None, pa.py_buffer(np.ascontiguousarray(q).tobytes())]).cast(pa.binary())
             for c in range(n_curves):
                 # a coordinate of a unit vector on a random axis has a standard deviation of dim ** -0.5
                 spot = x @ axes[c] * dim**0.5 / 6 + 0.5 + shifts[c] * 0.3
@@ -163,11 +165,11 @@ def _best(s: np.ndarray, floor: float, keep: int) -> tuple[np.ndarray, np.ndarra
 def candidates(curves: DataFrame, dim: int, floor: float, keep: int, window: int) -> DataFrame:
     """(a, b, s): for every vector its best neighbours in the windows of one partition, s approximate."""
     id_type = curves.schema["id"].dataType
-    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("s", T.FloatType())])
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("s", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unit(table: pa.Table) -> np.ndarray:
-            q = np.frombuffer(b"".join(table["q"].to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+            q = np.frombuffer(b"".join(table["q"].to_pylist()), "<i2").reshape(-1, dim).astype(np.float64)
             return q / np.sqrt((q * q).sum(axis=1, keepdims=True))
 
         def blocks() -> Iterator[pa.Table]:
@@ -193,7 +195,9 @@ def candidates(curves: DataFrame, dim: int, floor: float, keep: int, window: int
             all_x, all_curve = np.concatenate([before[0], x]), np.concatenate([before[1], curve])
             all_ids = pa.chunked_array([*before[2].chunks, *ids.chunks], type=ids.type).combine_chunks()
             n_old, rows = len(before[0]), np.arange(len(x))
-            s = x @ all_x.T
+            s = x.astype(np.float32) @ all_x.astype(np.float32).T
+            if (s >= CLOSE).sum() > (keep + 1) * len(x):  # more than each with itself and its best: single precision cannot rank them
+                s = x @ all_x.T
             s[rows, n_old + rows] = -9
             if curve[0] != curve[-1] or n_old and all_curve[0] != curve[-1]:
                 s[curve[:, None] != all_curve[None, :]] = -9
@@ -205,7 +209,7 @@ def candidates(curves: DataFrame, dim: int, floor: float, keep: int, window: int
                 parts.append((r, c + n_old, back[r, c]))
             a, b, sim = (np.concatenate(p) for p in zip(*parts))
             if len(a):
-                yield pa.RecordBatch.from_arrays([all_ids.take(pa.array(a)), all_ids.take(pa.array(b)), pa.array(sim.astype(np.float32))], names=["a", "b", "s"])
+                yield pa.RecordBatch.from_arrays([all_ids.take(pa.array(a)), all_ids.take(pa.array(b)), pa.array(sim.astype(np.float64))], names=["a", "b", "s"])
             before = (x, curve, ids)
 
     return curves.repartitionByRange("curve", "pos", "id").sortWithinPartitions("curve", "pos", "id").mapInArrow(run, schema)
@@ -254,12 +258,13 @@ def most_similar(vectors: DataFrame, k: int = 10, min_similarity: float = -1.0,
     # partitioned by id alone, so that the joins below use the same exchange
     same = F.xxhash64("values").bitwiseXOR(F.col("rep_print")) == 0
     single = rows.join(reps, "id").where(same).select("id", "values").dropDuplicates(["id"])
-    floor = max(-1.0, min_similarity - BYTE_ERROR)
+    floor = max(-1.0, min_similarity - QUANTISED_ERROR)
     some = reps.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE)
     sample = rows.join(F.broadcast(some), "id").where(same).dropDuplicates(["id"]).select("values").toArrow()
     crowded = crowds(_unit(_floats(sample["values"], dim).astype(np.float64)), reps.count(), window) if sample.num_rows else []
     near = candidates(placed(single, dim, n_curves, dims, seed, crowded), dim, floor, k + slack, window)
-    pairs = durable(merged(near, k + slack))
+    # beside the k + slack of the windows, the k + 1 first ids of the vector's own direction
+    pairs = durable(merged(near.unionByName(aligned(rows, reps, k + 1, dim)), 2 * k + slack + 1))
     left = single.select(F.col("id").alias("a"), F.col("values").alias("va"))
     right = single.select(F.col("id").alias("b"), F.col("values").alias("vb"))
     exact = rerank(pairs.join(left, "a").join(right, "b"), min_similarity, dim)
@@ -280,6 +285,32 @@ def most_similar(vectors: DataFrame, k: int = 10, min_similarity: float = -1.0,
     return mine.select("id", F.posexplode("top").alias("rank", "t")).select("id", F.col("t.other").alias("other"), F.col("t.sim").alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
 
+def directions(rows: DataFrame, dim: int) -> DataFrame:
+    """(id, print, rep): rep is a hash that vectors of one direction share, whatever their magnitude; those at a rounding
+    edge may differ."""
+    schema = T.StructType([rows.schema["id"], T.StructField("print", T.LongType()), T.StructField("rep", T.LongType())])
+    odd = np.random.default_rng(1).integers(-(2**62), 2**62, dim) * 2 + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _floats(batch.column("values"), dim).astype(np.float64)
+            cells = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 10_000).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("print"), pa.array((cells * odd).sum(axis=1))], names=schema.names)
+
+    return rows.select("id", F.xxhash64("values").alias("print"), "values").mapInArrow(run, schema)
+
+
+def aligned(rows: DataFrame, reps: DataFrame, n: int, dim: int) -> DataFrame:
+    """(a, b, s): the n smallest ids of vectors that differ from a in magnitude only; exact ties, which no window ranks by id.
+    Vectors are not moved."""
+    same = F.col("print").bitwiseXOR(F.col("rep_print")) == 0
+    own = durable(directions(rows, dim).join(reps, "id").where(same).select("id", "rep").dropDuplicates(["id"]))
+    several = own.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep")
+    members = own.join(several, "rep")
+    firsts = first_ids(members, n)
+    return members.join(firsts, "rep").select(F.col("id").alias("a"), F.explode("ids").alias("b"), F.lit(2.0).alias("s")).where("a <> b")
+
+
 def first_ids(members: DataFrame, n: int) -> DataFrame:
     """(rep, ids): the n smallest ids of each group of copies, salted so that no task ranks a whole hot group."""
     rows = members.select("id", "rep", F.pmod(F.xxhash64("id"), F.lit(SALTS * 4)).alias("salt"))
