@@ -400,3 +400,14 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert values(spark.read.parquet(str(tmp_path / "hourly")).select("database_id", "time_bucket", "total_queries")) == values(batch)
     logs.ingest(logs.deduplicated(logs.read_stream(spark, source, 1)), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 180
+
+
+def test_export_takes_every_latest_record(spark, tmp_path):
+    from datetime import datetime
+
+    from vectide.plans.storage_queries import export_csv
+
+    values = [[0.5] * 64, None, [], [1.0], [None, 0.0, 2.0], [float("nan"), float("inf")]]
+    data = [(f"r{i}", v, 1, datetime(2024, 1, 1), "tablet", None) for i, v in enumerate(values)]
+    spark.createDataFrame(data, "id string, values array<float>, version int, updated_at timestamp, category string, custom string").write.parquet(f"{tmp_path}/arrow_utils.parquet")
+    assert tuple(export_csv(spark, str(tmp_path)).first()) == (6, 6)
