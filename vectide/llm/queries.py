@@ -39,7 +39,7 @@ def vector_collection(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 most similar vectors of every vector, however similar they are."""
     vectors, current = vector_collection(spark, folder)
-    return curve_neighbours.most_similar(vectors, k=5, current=current, n_curves=16)
+    return curve_neighbours.most_similar(vectors, k=5, current=current, n_curves=6, window=1000)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
