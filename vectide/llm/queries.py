@@ -264,11 +264,21 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 # Problem 8: subjects
 
 
+def subject_model(spark: SparkSession, folder: str) -> tuple[DataFrame, subjects.Model | None]:
+    """The documents' sentences, and the model fitted on them."""
+    bags = subjects.bags(spread(table(spark, folder, "documents").select("doc_id", "text")))
+    names = [r["subject"] for r in table(spark, folder, "subject_areas").select("subject").distinct().collect()]
+    return bags, subjects.fit(bags, table(spark, folder, "doc_labels"), names)
+
+
 def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
     """Subjects of each document with the part of its sentences that are about them."""
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    names = [r["subject"] for r in table(spark, folder, "subject_areas").select("subject").distinct().collect()]
-    return subjects.assign(documents, subjects.fit(documents, table(spark, folder, "doc_labels"), names))
+    return subjects.assign(*subject_model(spark, folder))
+
+
+def p8_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the posteriors agree with labels that the model has not seen."""
+    return subjects.reliability(subject_model(spark, folder)[1], spark)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -301,4 +311,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_subjects": p8_subjects,
     "p8_composition": p8_composition,
+    "p8_calibration": p8_calibration,
 }
