@@ -222,7 +222,7 @@ def test_distinct_counts_against_sets_and_partial_results(spark):
     data += [("user", None, "db1", 0, 1), ("user", "u1", "db1", None, 1)] + data[:500]
     df = spark.createDataFrame(data, "kind string, ident string, db string, week int, slot int")
     parts = [distinct.pairs(df.where(f"week % 2 = {m}"), "kind", "ident", "db", "week", "slot") for m in (0, 1)]
-    own = distinct.bucketed(distinct.merge(parts + [parts[0]]))
+    own = distinct.merge(parts + [parts[0]])
     slices = {"all": None, "low": [0, 1], "high": [40]}
     got = {(r["grp"], r["period"], r["slice"]): r["n"] for r in distinct.counts(distinct.with_all_groups(own), slices).collect()}
     true = defaultdict(set)
@@ -234,7 +234,7 @@ def test_distinct_counts_against_sets_and_partial_results(spark):
                     if slot in s:
                         true[g, week, name].add(i)
     assert got == {k: len(v) for k, v in true.items()}
-    assert distinct.counts(distinct.bucketed(distinct.pairs(df.where("false"), "kind", "ident", "db", "week", "slot")), slices).collect() == []
+    assert distinct.counts(distinct.pairs(df.where("false"), "kind", "ident", "db", "week", "slot"), slices).collect() == []
 
 
 # Problem 5

@@ -46,3 +46,18 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
                 held, size = rest.combine_chunks().to_batches(), rest.num_rows
     if held:
         yield pa.Table.from_batches(held)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows in the order they come."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)

@@ -1,7 +1,7 @@
 """Most frequent items of a weighted stream in bounded memory: count-min sketches with conservative update.
 
 The values are hash-partitioned, so that all occurrences of a value meet in one stream. Map tasks first add up equal
-values of each Arrow batch, so a hot value crosses the shuffle once per batch, not once per row. Each stream keeps,
+values of some 200,000 rows, so a hot value crosses the shuffle a few times per task, not once per row. Each stream keeps,
 for the group it is reading, one count-min sketch (depth x width counters, conservative update: a counter rises only
 to the new estimate) and a bounded list of the candidates with the largest estimates. Streams hold disjoint values, so
 their lists merge by union.
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.llm.batches import changes
+from vectide.llm.batches import changes, gathered
+from vectide.session import durable
 
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -51,24 +52,24 @@ class Sketch:
 
 
 def combine(df: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Equal (groups, item) of each Arrow batch added up: (groups, item, weight)."""
+    """Equal (groups, item) added up over some 200,000 rows of a task at a time: (groups, item, weight)."""
     keys = [*groups, "item"]
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("weight", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = pa.Table.from_batches([batch]).group_by(keys, use_threads=False).aggregate([("weight", "sum")]).rename_columns([*keys, "weight"] if pa.__version__ >= "14" else ["weight", *keys])
-                yield from out.select([*keys, "weight"]).combine_chunks().to_batches()
+        for table in gathered(batches):
+            out = table.group_by(keys, use_threads=False).aggregate([("weight", "sum")]).rename_columns([*keys, "weight"])
+            yield from out.combine_chunks().to_batches()
 
     return df.select(*keys, "weight").mapInArrow(run, schema)
 
 
 def streams(df: DataFrame, groups: Sequence[str], item: str, weight: str | None = None) -> DataFrame:
-    """(groups, item, weight, h), combined per batch and hash-partitioned by item: one value, one stream."""
+    """(groups, item, weight, h), combined in the map tasks and hash-partitioned by item: one value, one stream. Kept, as
+    the candidates and their exact counts are two readings of it."""
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     rows = df.select(*groups, F.col(item).alias("item"), w.alias("weight")).where("item is not null and weight > 0").dropna(subset=list(groups))
-    return combine(rows, groups).withColumn("h", F.xxhash64("item")).repartition("h")
+    return durable(combine(rows, groups).withColumn("h", F.xxhash64("item")).repartition("h"))
 
 
 def candidates(stream: DataFrame, groups: Sequence[str], share: float, width: int = 1 << 14, depth: int = 4) -> DataFrame:

@@ -137,9 +137,8 @@ def p3_frequent(spark: SparkSession, folder: str) -> DataFrame:
 # Problem 4: distinct counts
 
 
-def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, database_id, bucket_type, time_bucket, query_type, n) for every database and all, day and week, each as a
-    whole (query_type '') and by query type; kind: user, session, or query (the counted rows)."""
+def identifier_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Users, sessions and queries (the counted rows) by database and week, with a bit per day and query type."""
     log = table(spark, folder, "query_log").where("timestamp is not null")
 
     def cleaned(name: str):
@@ -150,7 +149,13 @@ def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
     number = F.coalesce(*[F.when(F.col("query_type") == t, F.lit(i)) for i, t in enumerate(QUERY_TYPES)], F.lit(len(QUERY_TYPES)))
     each = F.array(*[F.struct(F.lit(k).alias("kind"), i.alias("identifier")) for k, i in (("user", cleaned("user_id")), ("session", cleaned("session_id")), ("query", logtables.query_key()))])
     rows = log.select("database_id", week_start(F.col("timestamp")).alias("week"), (day * (len(QUERY_TYPES) + 1) + number).alias("slot"), F.inline(each))
-    own = distinct.bucketed(distinct.pairs(rows, "kind", "identifier", "database_id", "week", "slot"))
+    return distinct.pairs(rows, "kind", "identifier", "database_id", "week", "slot")
+
+
+def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, database_id, bucket_type, time_bucket, query_type, n) for every database and all, day and week, each as a
+    whole (query_type '') and by query type."""
+    own = identifier_pairs(spark, folder)
     types = [*QUERY_TYPES, "other"]
     width = len(types)
     days = {f"{d}|": [d * width + t for t in range(width)] for d in range(7)}
@@ -168,6 +173,14 @@ def p4_distinct(spark: SparkSession, folder: str) -> DataFrame:
     return distinct_counts(spark, folder).where("kind <> 'query'").withColumnRenamed("n", "n_distinct")
 
 
+def p4_group_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact distinct users and sessions of every week over sets of databases taken together."""
+    support = F.contains("grp", F.lit("support"))
+    sets = distinct.with_groups(identifier_pairs(spark, folder), {"set: support": support, "set: other": ~support})
+    counted = distinct.counts(sets.where("grp like 'set: %'"), {"week": None})
+    return counted.where("kind <> 'query'").select("kind", F.substr("grp", F.lit(6)).alias("databases"), F.col("period").alias("time_bucket"), F.col("n").alias("n_distinct"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Stored distinct counts that are more than 15 % off."""
     keys = ["database_id", "bucket_type", "time_bucket", "query_type"]
@@ -301,6 +314,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_frequent": p3_frequent,
     "p4_found": p4_found,
     "p4_distinct": p4_distinct,
+    "p4_group_sets": p4_group_sets,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,

@@ -1,5 +1,7 @@
 """The problems' queries in DuckDB's SQL, where SQL can express them."""
 
+from vectide.functions.text import NORMALISER_STOP_WORDS
+
 _COUNTED = """counted AS (SELECT coalesce(query_id, '#' || id) AS query_key, any_value(database_id) AS database_id,
   any_value(query_text) AS query_text, any_value(query_type) AS query_type, any_value(total_time_ms) AS total_time_ms,
   any_value(retrieval_time_ms) AS retrieval_time_ms, any_value(user_id) AS user_id, any_value(session_id) AS session_id,
@@ -13,7 +15,7 @@ pm AS (SELECT DISTINCT metric_name, database_id, bucket_type, time_bucket, metri
 
 _NEAREST = "list_sort(list({c}) FILTER ({c} >= 0))[greatest(ceil({p} * count(*) FILTER ({c} >= 0) - 1e-9), 1)::BIGINT]"
 
-_STOP = "('the','a','an','and','or','but','in','on','at','to','for','of','with','by','from','as','is','was','are','were','be','been','being','have','has','had','do','does','did','will','would','could','should','may','might','must','can','this','that','these','those','i','you','he','she','it','we','they')"
+_STOP = "(" + ", ".join(f"'{w}'" for w in NORMALISER_STOP_WORDS) + ")"
 
 _FREQUENT = f"""WITH {_COUNTED},
 texts AS (SELECT 'log' AS scope, w AS time_bucket, array_to_string(list_filter(string_split_regex(regexp_replace(lower(query_text), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'),
@@ -66,6 +68,11 @@ clean AS (SELECT db, bucket_type, time_bucket, CASE WHEN query_type IN ('vector'
 sliced AS (SELECT *, '' AS query_type FROM clean UNION ALL SELECT *, t FROM clean)
 SELECT 'user' AS kind, db AS database_id, bucket_type, time_bucket, query_type, count(DISTINCT u) AS n_distinct FROM sliced GROUP BY ALL HAVING count(DISTINCT u) > 0
 UNION ALL SELECT 'session', db, bucket_type, time_bucket, query_type, count(DISTINCT s) FROM sliced GROUP BY ALL HAVING count(DISTINCT s) > 0""",
+    "p4_group_sets": f"""WITH {_COUNTED},
+clean AS (SELECT CASE WHEN contains(database_id, 'support') THEN 'support' ELSE 'other' END AS g, w, CASE WHEN lower(trim(user_id)) NOT IN ('', 'anonymous') THEN lower(trim(user_id)) END AS u,
+  CASE WHEN lower(trim(session_id)) NOT IN ('', 'anonymous') THEN lower(trim(session_id)) END AS s FROM dated WHERE database_id IS NOT NULL)
+SELECT 'user' AS kind, g AS databases, w AS time_bucket, count(DISTINCT u) AS n_distinct FROM clean GROUP BY ALL HAVING count(DISTINCT u) > 0
+UNION ALL SELECT 'session', g, w, count(DISTINCT s) FROM clean GROUP BY ALL HAVING count(DISTINCT s) > 0""",
     "p5_found": """WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce('p' || file_path, 'd' || doc_id) ORDER BY uploaded_at DESC NULLS LAST, doc_id DESC) AS rn
   FROM documents) WHERE rn = 1 AND length(text) > 0),
 m AS (SELECT *, CASE WHEN length(text) > 1024 THEN ceil((length(text) - 100) / 924.0) ELSE 1 END AS least,
