@@ -68,6 +68,34 @@ def with_crowd(n, dim, noise, seed):
     return {f"v{i:05d}": v.tolist() for i, v in enumerate(x.astype(np.float32))}
 
 
+def test_recall_without_floor_where_windows_touch_a_tenth(spark):
+    """Twelve loose groups of noise, where most neighbours are noise: the hard case."""
+    rng = np.random.default_rng(8)
+    n, window, curves, orders = 8000, 10, 5, 5
+    x = (0.7 * rng.normal(size=(12, 64))[rng.integers(0, 12, n)] + rng.normal(size=(n, 64))).astype(np.float32)
+    assert curves * orders * 3 * window < 0.1 * n
+    data = {f"v{i:05d}": x[i].tolist() for i in range(n)}
+    got = curve_neighbours.most_similar(spark.createDataFrame(list(data.items()), VEC), k=10, n_curves=curves, window=window, orders=orders, rounds=2, slack=20)
+    found = {(r["id"], r["other"]) for r in got.collect()}
+    true = brute_neighbours(data, 10, -1)
+    assert len(found & true) / len(true) >= 0.9
+
+
+def test_no_pair_is_lost_where_parts_meet():
+    rng = np.random.default_rng(9)
+    x = curve_neighbours._unit(rng.normal(size=(3000, 64)))
+    names = np.arange(len(x))
+    old, curve_neighbours.PART_ROWS = curve_neighbours.PART_ROWS, 300
+    try:
+        curve = curve_neighbours.curves(x, names, len(x), 8, 1, 20, 1, 1)[0][0]
+    finally:
+        curve_neighbours.PART_ROWS = old
+    key = np.sort(curve.keys(x, names))
+    assert len(curve.cuts) == 9
+    for cut, halo in zip(curve.cuts, curve.halos):
+        assert ((key >= halo) & (key < cut)).sum() >= 20
+
+
 def crowd_recall(spark, data, **sizes):
     got = curve_neighbours.most_similar(spark.createDataFrame(list(data.items()), VEC), k=5, min_similarity=0.85, **sizes)
     true = {(a, b) for a, b in brute_neighbours(data, 5, 0.85) if int(a[1:]) % 3 == 0}
@@ -152,6 +180,22 @@ def test_percentile_bounds_hold_and_partial_digests_merge(spark):
     assert both.groupBy("g").count().agg({"count": "max"}).first()[0] <= 3 * 64 * 5
 
 
+def test_compressed_digests_stay_within_their_rank_error(spark):
+    rng = random.Random(4)
+    values = [int(rng.lognormvariate(6, 1.5)) for _ in range(40_000)]
+    df = spark.createDataFrame([("g", v, i % 4) for i, v in enumerate(values)], "g string, v long, day int")
+    k = 512
+    daily = quantiles.compress(quantiles.leaf_counts(df, ["g", "day"], "v"), ["g", "day"], k=k)
+    merged = quantiles.merge(daily, ["g"])
+    assert merged.count() < 0.6 * len(set(values))
+    own = sorted(values)
+    for r in quantiles.percentiles(merged, ["g"], [0.05, 0.5, 0.95, 0.99], k=k).collect():
+        below, upto = sum(v < r["value"] for v in own), sum(v <= r["value"] for v in own)
+        rank = r["p"] * len(own)
+        error = max(below - rank, rank - upto, 0) / len(own)
+        assert r["value_lo"] <= nearest_rank(own, r["p"]) <= r["value_hi"] and error <= 0.01 < 16 / k
+
+
 def test_compression_keeps_counts_and_shrinks():
     rng = np.random.default_rng(1)
     leaves, cnt = np.unique(rng.integers(0, 60_000, 50_000), return_counts=True)
@@ -269,6 +313,35 @@ def test_cuts_prefer_the_change_of_topic():
     assert abs(cut - len(pump * 8)) <= 60
 
 
+PARTS = {
+    "en": (["pump", "gasket", "grease", "pressure", "valve", "bearing"], ["clause", "lawyer", "contract", "verdict", "statute", "appeal"], ["striker", "referee", "stadium", "league", "penalty", "coach"], "The {} needs a new {} before every {}. "),
+    "de": (["Pumpe", "Dichtung", "Ventil", "Lager", "Druck", "Motor"], ["Klausel", "Vertrag", "Urteil", "Gericht", "Anwalt", "Berufung"], ["Stürmer", "Trainer", "Stadion", "Strafstoß", "Liga", "Abseits"], "Heute wird {} ohne {} und {} geprüft. "),
+    "zh": (["水泵", "垫圈", "阀门", "轴承", "压力", "电机"], ["条款", "合同", "判决", "法院", "律师", "上诉"], ["前锋", "教练", "球场", "点球", "联赛", "越位"], "今天的{}需要{}以及{}。"),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(PARTS))
+def test_cuts_fall_on_seams_more_often_than_the_last_gap(lang):
+    rng = random.Random(3)
+    *topics, frame = PARTS[lang]
+    limit = 240 if lang == "zh" else 700
+    hit = last = seen = 0
+    for _ in range(60):
+        blocks = ["".join(frame.format(*rng.sample(rng.choice([t]), 3)) for _ in range(rng.randrange(4, 9))) for t in (rng.choice(topics) for _ in range(9))]
+        text, seams = "".join(blocks), set(np.cumsum([len(b) for b, c in zip(blocks, blocks[1:]) if b]).tolist())
+        at, _ = segments.gaps_and_depths(text)
+        for a, b, _ in segments.cuts(text, limit, 0)[:-1]:
+            window = [g for g in at.tolist() if a + limit // 2 < g <= a + limit]
+            if seams & set(window):
+                seen, hit, last = seen + 1, hit + (b in seams), last + (window[-1] in seams)
+    assert seen > 60 and hit / seen >= 0.6 and hit / seen >= 2 * last / seen
+
+
+def test_a_repeated_sentence_has_no_topics():
+    kinds = [k for _, _, k in segments.cuts("The pump needs a gasket. " * 200, 500, 50)]
+    assert "topic" not in kinds and kinds[:-1] and set(kinds[:-1]) == {"sentence"}
+
+
 def test_pieces_defined_cases(spark):
     data = [(1, None, 0), (2, "", 0), (3, "short", 0), (4, "a" * 2500, 0), (5, "word " * 20_000, 0), (5, "word " * 20_000, 0)]
     df = spark.createDataFrame(data, "n bigint, body string, piece int")
@@ -319,6 +392,14 @@ def test_a_hot_cluster_is_packed_in_linear_time():
     assert len(set(where[:n])) == n == len(rests) and set(rests) == {100}
 
 
+def test_containers_do_not_depend_on_partitions(spark):
+    rng = random.Random(12)
+    data = [(i % 700, rng.randrange(1, 400), rng.choice("abc"), None) for i in range(2000)] + [(7, 50, "a", None)] * 30
+    df = spark.createDataFrame(data, "n bigint, size int, src string, cl string")
+    one, two = ([tuple(r) for r in packing.pack(d, "n", "size", 1000, "src", "cl", shard_containers=50).collect()] for d in (df.repartition(1), df.repartition(13)))
+    assert Counter(one) == Counter(two)
+
+
 def test_packing_defined_cases(spark):
     data = [(1, None, "a", None), (2, 0, "a", None), (3, -4, None, None), (4, 2500, None, None), (5, 1000, "a", "c"), (6, 10, "a", "c"), (7, 10, "a", "c")]
     df = spark.createDataFrame(data, "n bigint, shard int, src string, cl string")
@@ -347,6 +428,7 @@ def test_mixing_reaches_shares_within_the_uses(spark):
     for r in selected.collect():
         assert r["uses"] <= {"big": 1, "small": 4}[r["source"]] or r["mix_id"] == "n"
         uses[r["mix_id"], r["doc_id"]] += r["uses"]
+    assert max(abs(r["deviation"]) for r in got.values() if r["enough"]) < 0.02
     spread = {uses["m", i] for i, s, _ in data if s and s.strip().lower() == "small"}
     assert max(spread) - min(spread) <= 1
 

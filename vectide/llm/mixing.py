@@ -71,12 +71,13 @@ def select(sizes: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def report(selected: DataFrame, planned: DataFrame) -> DataFrame:
-    """Per target what was wanted and reached: shares are of the tokens of the whole mix."""
+    """Per target what was wanted and reached: shares are of the tokens of the whole mix, deviation is of the wanted tokens."""
     reached = selected.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
     both = planned.join(reached, ["mix_id", "source"], "left")
     tokens = F.coalesce("tokens", F.lit(0))
     share = tokens / F.nullif(F.sum(tokens).over(Window.partitionBy("mix_id")), F.lit(0))
-    return both.select("mix_id", "source", "target_share", "max_uses", "wanted", "available", "enough", tokens.alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), share.alias("actual_share"))
+    return both.select("mix_id", "source", "target_share", "max_uses", "wanted", "available", "enough", tokens.alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), share.alias("actual_share"),
+                       (tokens / F.nullif("wanted", F.lit(0.0)) - 1).alias("deviation"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Filling containers of fixed capacity: conflict-constrained best fit, largest items first.
 
-Items are spread over shards by a hash of id and row; a shard holds about `shard_containers` containers' worth and at
+Items are spread over shards by a hash of the id and, where rows repeat, their number (so the result does not depend on
+partitions); a shard holds about `shard_containers` containers' worth and at
 most about SHARD_ITEMS items, so a shard's size does not grow with the data, and a hot source, cluster or id is spread
 over all shards. Within a shard the open bins are ordered by what is left in them. Each bin carries a bitmap of the
 sources and a bitmap of the duplicate clusters in it. An item goes to the tightest bin that can take it: the search
@@ -70,15 +71,19 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, source: str |
     if capacity <= 0:
         raise ValueError("capacity must be positive")
     none = F.lit(None).cast("string")
-    rows = durable(items.select(
+    keys = ["item_id", "size", "source", "cluster"]
+    named = items.select(
         F.col(item_id).alias("item_id"), F.col(size).cast("long").alias("size"), (F.col(source).cast("string") if source else none).alias("source"),
         (F.col(cluster).cast("string") if cluster else none).alias("cluster"),
-    ).where("size > 0"))
-    total, number = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    shards = max(1, math.ceil(total / (capacity * shard_containers)), math.ceil(number / SHARD_ITEMS))
+    ).where("size > 0")
+    rows = durable(named.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")))
+    total, number = rows.agg(F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0)), F.sum("copies")).first()
+    shards = max(1, math.ceil(total / (capacity * shard_containers)), math.ceil((number or 0) / SHARD_ITEMS))
     whole = F.floor((F.col("size") - 1) / capacity)
     rest = F.col("size") - whole * capacity
-    tagged = rows.select("*", F.pmod(F.xxhash64("item_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), whole.cast("int").alias("full"), rest.alias("rest"))
+    # repeated rows are numbered, so that an item's shard depends on nothing but the items
+    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    tagged = each.select(*keys, F.pmod(F.xxhash64("item_id", "copy"), F.lit(shards)).cast("int").alias("shard"), whole.cast("int").alias("full"), rest.alias("rest"))
     fields = [("shard", T.IntegerType()), ("container", T.LongType()), ("item_id", rows.schema["item_id"].dataType), ("part", T.IntegerType()), ("n_parts", T.IntegerType()), ("part_size", T.LongType()), ("used", T.LongType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
     pairs = [tuple(p) for p in apart]

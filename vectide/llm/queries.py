@@ -82,9 +82,8 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return out.where("metric <> 'rows'").withColumnRenamed("db", "database_id")
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored percentiles that are more than 20 % off. The digests' bounds decide; a figure that the bounds leave
-    open is decided by counting the rows below and above the two limits, without sorting them."""
+def ruled_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """The judged stored percentiles with what the digests' bounds say of them: found (more than 20 % off), right or open."""
     asked = spark.createDataFrame([("p95_latency_ms", "total", 0.95), ("retrieval_p50_ms", "retrieval", 0.5), ("retrieval_p95_ms", "retrieval", 0.95)], "stat_name string, metric string, p double")
     other = logtables.metrics(spark, folder).where("stat_name in ('retrieval_p50_ms', 'retrieval_p95_ms') or stat_name = 'p95_latency_ms' and database_id = 'all'")
     stored = logtables.current_stats(spark, folder, "p95_latency_ms").unionByName(other).join(F.broadcast(asked), "stat_name").withColumnRenamed("database_id", "db")
@@ -93,8 +92,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     judged = true.where((F.col("metric") == "rows") & (F.col("p") == 0.5) & (F.col("n") >= JUDGED)).select(*keys)
     low, high = F.col("stored") / 1.2, F.col("stored") / 0.8
     verdict = F.when((F.col("value_hi") < low) | (F.col("value_lo") > high), "found").when((F.col("value_lo") >= low) & (F.col("value_hi") <= high), "right").otherwise("open")
-    ruled = stored.join(true, [*BUCKET, "p"]).join(judged, keys, "left_semi").select("stat_name", *BUCKET, "p", "n", "stored", verdict.alias("verdict")).where("verdict <> 'right'")
-    ruled = durable(ruled)
+    return stored.join(true, [*BUCKET, "p"]).join(judged, keys, "left_semi").select("stat_name", *BUCKET, "p", "n", "stored", verdict.alias("verdict"))
+
+
+def p2_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the judged figures the digests decide, and how many they leave to a count of the rows."""
+    return ruled_figures(spark, folder).groupBy("stat_name", "verdict").agg(F.count(F.lit(1)).alias("n_figures"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored percentiles that are more than 20 % off. The digests' bounds decide; a figure that the bounds leave
+    open is decided by counting the rows below and above the two limits, without sorting them."""
+    ruled = durable(ruled_figures(spark, folder).where("verdict <> 'right'"))
+    low, high = F.col("stored") / 1.2, F.col("stored") / 0.8
     found, doubtful = ruled.where("verdict = 'found'"), ruled.where("verdict = 'open'")
     n_doubtful = doubtful.count()
     if n_doubtful:
@@ -246,6 +256,16 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sized_documents(spark, folder), "doc_id", "n_tokens", capacity, "source", "cluster")
 
 
+#: Sources whose documents the conflict query keeps apart: what customers wrote from what the company publishes.
+APART = (("chat_export", "policies"), ("tickets", "policies"))
+
+
+def p6_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers in which no document of a source meets one of a source it is kept apart from."""
+    capacity, _ = size_limit(spark, folder, "container")
+    return packing.pack(sized_documents(spark, folder), "doc_id", "n_tokens", capacity, "source", "cluster", apart=APART)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that the packing cut."""
     return p6_containers(spark, folder).where("n_parts > 1").select(F.col("item_id").alias("doc_id")).distinct()
@@ -310,6 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_neighbours": p1_neighbours,
     "p2_found": p2_found,
     "p2_percentiles": p2_percentiles,
+    "p2_verdicts": p2_verdicts,
     "p3_found": p3_found,
     "p3_frequent": p3_frequent,
     "p4_found": p4_found,
@@ -319,6 +340,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_containers": p6_containers,
+    "p6_conflicts": p6_conflicts,
     "p7_found": p7_found,
     "p7_selection": p7_selection,
     "p7_report": p7_report,

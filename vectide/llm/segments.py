@@ -1,9 +1,9 @@
 """Cutting oversized texts at topic boundaries found by lexical cohesion.
 
-A text is a row of sentences. The similarity of the blocks of sentences before and after each gap, as bags of words,
-falls where the topic changes; a gap's depth is how far it lies below the similarity peaks on both sides. Each piece
+A text is a row of sentences. The similarity of the blocks of sentences before and after each gap, as bags of words
+(of four letters or more; character pairs in scripts without spaces), falls where the topic changes; a gap's depth is how far it lies below the similarity peaks on both sides. Each piece
 takes up to `max_size` characters, the first `overlap` of them repeating the end of the piece before. Of the gaps in
-the second half of what fits, the deepest becomes the cut; without a gap there, the last gap in the first half, then
+the second half of what fits, the deepest becomes the cut (the last, if none lies in a valley); without a gap there, the last gap in the first half, then
 the last white space that fits, and only in a stretch without any of these a hard cut at the limit.
 
 Sizes are characters as stored. Defined cases: null and empty texts have no pieces; a text within the limit is one
@@ -14,7 +14,6 @@ depend on the text alone, so equal texts are cut alike.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,9 @@ from pyspark.sql import types as T
 
 GAP = re.compile(r"(?:[.!?…][\"')\]»”]*\s+)|(?:[。！？]+\s*)|(?:\n\s*)")
 BREAK = re.compile(r"[\s。！？]+")
-WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_]{4,}")
-SLOTS = 128
+WORD = re.compile(r"(?=([぀-ヿ㐀-鿿]{2}))|([^\W\d_぀-ヿ㐀-鿿]{4,})")
 BLOCK = 3
-CHUNK = 4000
+CHUNK = 1000
 
 
 def gaps_and_depths(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +47,15 @@ def likeness(text: str, at: np.ndarray, first: int, last: int) -> np.ndarray:
     between the sentences g and g + 1."""
     lo, hi = max(first - BLOCK + 1, 0), min(last - 1 + BLOCK, len(at))
     span = (0 if lo == 0 else int(at[lo - 1]), int(at[hi]) if hi < len(at) else len(text))
-    words = [(m.start(), zlib.crc32(m.group().lower().encode("utf-8", "replace")) % SLOTS) for m in WORD.finditer(text, *span)]
+    numbers: dict[str, int] = {}
+    words = [(m.start(), numbers.setdefault(m[1] or m[2], len(numbers))) for m in WORD.finditer(text[span[0] : span[1]].lower())]
     if not words:
         return np.zeros(last - first)
     where, slot = np.array(words, np.int64).T
-    sentence = np.searchsorted(at, where, side="right") - lo
-    n = hi - lo + 1
-    bags = np.bincount(sentence * SLOTS + slot, minlength=n * SLOTS).reshape(n, SLOTS).astype(np.float32)
-    total = np.concatenate([np.zeros((1, SLOTS), np.float32), np.cumsum(bags, axis=0)])
+    sentence = np.searchsorted(at[lo:hi], where + span[0], side="right")
+    n, width = hi - lo + 1, len(numbers)
+    bags = np.bincount(sentence * width + slot, minlength=n * width).reshape(n, width).astype(np.float32)
+    total = np.concatenate([np.zeros((1, width), np.float32), np.cumsum(bags, axis=0)])
     gap = np.arange(first, last) - lo + 1
     left = total[gap] - total[np.maximum(gap - BLOCK, 0)]
     right = total[np.minimum(gap + BLOCK, n)] - total[gap]
@@ -79,8 +78,10 @@ def cuts(text: str, max_size: int, overlap: int) -> list[tuple[int, int, str]]:
             out.append((start, n, "end"))
             return out
         lo, mid, hi = np.searchsorted(at, [cut, cut + (most - cut) // 2, most], side="right")
-        if hi > mid:
+        if hi > mid and depth[mid:hi].max() > 0:
             end, kind = int(at[mid + np.argmax(depth[mid:hi])]), "topic"
+        elif hi > mid:
+            end, kind = int(at[hi - 1]), "sentence"
         elif mid > lo:
             end, kind = int(at[mid - 1]), "sentence"
         elif (s := np.searchsorted(spaces, most, side="right")) and spaces[s - 1] > cut:
