@@ -80,7 +80,7 @@ def test_search_with_filters_and_threshold(corpus):
 def test_batch_search_agrees_with_single_searches_in_any_number_of_blocks(corpus, monkeypatch):
     x, df = corpus
     for block in (4096, 2):
-        monkeypatch.setattr(search.query_blocks, "__defaults__", ("id", "values", block))
+        monkeypatch.setattr(search, "BLOCK", block)
         got = search.batch_search(df, df.where("id % 50 = 0"), 4).collect()
         for q in range(0, 300, 50):
             want = sorted([(i, cos(x[q], x[i])) for i in range(300) if i != q], key=lambda p: (-p[1], p[0]))[:4]
@@ -102,16 +102,12 @@ def test_indexes_reach_their_recall(corpus):
     books = indexes.pq_train(df, sub=4, centroids=64)
     found = {
         "ivf": (indexes.ivf_search(indexes.ivf_build(df, 8), q, 5, probes=6), "cosine"), "lsh": (indexes.lsh_search(indexes.lsh_buckets(df, 16, tables=24, projections=2, width=3.0), q, 5), "cosine"),
-        "pq": (indexes.pq_search(indexes.pq_encode(df, books), q, 5, books), "euclidean"), "hnsw": (indexes.hnsw_search(df, q, 5, rows_per_graph=150), "euclidean"),
+        "pq": (indexes.pq_search(indexes.pq_encode(df, books), q, 5, books), "euclidean"), "hnsw": (indexes.hnsw_search(indexes.hnsw_build(df, rows_per_graph=150), q, 5), "euclidean"),
     }
     for name, (got, metric) in found.items():
         assert search.recall(got, exact[metric], ["query_id", "id"]).first().recall >= 0.9, name
 
 
-def test_index_choice():
-    assert indexes.choose(10_000, 64, 10, []) == "flat" and indexes.choose(10_000_000, 64, 10, ["ivf", "hnsw"]) in ("ivf", "hnsw")
-
-
 # Filters
 
 

@@ -6,8 +6,10 @@ vectors count as 0 for distances and products.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,35 @@ METRICS = {
 }
 
 
+#: The same metrics over blocks, (queries, dim) x (rows, dim) -> (queries, rows), for those registered by register_metric.
+BLOCK_METRICS: dict = {}
+
+
+def register_metric(name: str, column_metric, block_metric) -> None:
+    """A similarity of one's own (larger is nearer): as a function of two columns, and of two blocks of vectors."""
+    METRICS[name] = column_metric
+    BLOCK_METRICS[name] = block_metric
+
+
+def embedder(load, dim: int):
+    """A function of a text column to array<double>: load() gives the model once per task, a function of a list of texts
+    to an array (texts, dim). Null texts give null."""
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            known = texts.notna().to_numpy()
+            out = pd.Series([None] * len(texts), dtype=object)
+            if known.any():
+                vectors = np.asarray(model(texts[known].tolist()), float).reshape(-1, dim)
+                for at, v in zip(np.nonzero(known)[0], vectors):
+                    out.iat[at] = v
+            yield out
+
+    return embed
+
+
 def hash_embedding(text: Column, dim: int = 128) -> Column:
     """A deterministic unit vector of a text: each element from a digest of the text and its position."""
     part = lambda i: F.conv(F.substring(F.md5(F.concat(text, F.lit(":"), i.cast("string"))), 1, 8), 16, 10).cast("double")

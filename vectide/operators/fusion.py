@@ -5,8 +5,9 @@ A list is a short result, at most some thousand rows; ties go by doc_id everywhe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -98,6 +99,22 @@ def overlap_scorer(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, tokens(text))) / F.greatest(F.size(q), F.lit(1))
 
 
+def model_scorer(load):
+    """A scorer by a model: load() gives it once per task, a function of lists of queries and texts to scores. A null text
+    scores 0."""
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for queries, texts in batches:
+            known = texts.notna()
+            out = pd.Series(0.0, index=texts.index)
+            if known.any():
+                out[known] = model(queries[known].tolist(), texts[known].tolist())
+            yield out
+
+    return score
+
+
 def blend(rerank: Column, original: Column, weight: float = 0.7) -> Column:
     return weight * rerank + (1 - weight) * original
 

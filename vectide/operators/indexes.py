@@ -1,23 +1,23 @@
 """Approximate indexes of vectors (id, values) as tables, searched for many queries at once.
 
 Training reads a bounded sample (`sample` rows by hash of the id, a parameter); every row is indexed. Buckets have no
-cap: a bucket's candidates come from joins or map tasks, whose work follows its size.
+cap: a bucket's rows and queries meet in a grid of groups, whose number follows its size.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+import pickle
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectide.functions import vectors as V
-from vectide.operators import quantise
-from vectide.operators.search import batch_search, pair_schema, query_blocks
+from vectide.operators.search import best_of, grid, matrix, pair_schema, scorer
+from vectide.session import durable
 
 SAMPLE = 20_000
 
@@ -54,11 +54,25 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
 
 
 class Ivf:
-    """Inverted file: rows with the number of their nearest centroid."""
+    """Inverted file: rows with the number of their nearest centroid. Rows can be added and removed; the centroids stay."""
 
     def __init__(self, rows: DataFrame, centres: np.ndarray) -> None:
         self.rows, self.centres = rows, centres
 
+    def add(self, df: DataFrame) -> Ivf:
+        return Ivf(self.rows.unionByName(_assign(df.select("id", "values"), self.centres, 1, "cluster")), self.centres)
+
+    def remove(self, ids: DataFrame) -> Ivf:
+        return Ivf(self.rows.join(ids.select("id"), "id", "left_anti"), self.centres)
+
+    def update(self, df: DataFrame) -> Ivf:
+        """Rows whose ids are there get new vectors; others are not added."""
+        known = df.select("id", "values").join(self.rows.select("id"), "id", "left_semi")
+        return self.remove(known).add(known)
+
+    def contains(self, ids: DataFrame) -> DataFrame:
+        return ids.select("id").distinct().join(self.rows.select("id", F.lit(True).alias("found")), "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
+
 
 def _assign(df: DataFrame, centres: np.ndarray, n: int, name: str) -> DataFrame:
     @F.pandas_udf("array<int>")
@@ -80,30 +94,9 @@ def ivf_build(df: DataFrame, clusters: int = 1000, seed: int = 100, sample: int
 
 
 def ivf_search(index: Ivf, queries: DataFrame, k: int, probes: int = 10, metric: str = "cosine") -> DataFrame:
-    """Queries meet only the rows of their nearest clusters; within a cluster in blocks, by its tasks."""
+    """Queries meet only the rows of their nearest clusters, in a grid of blocks per cluster."""
     asked = _assign(queries.select("id", "values"), index.centres, min(probes, len(index.centres)), "cluster")
-    return _within_buckets(index.rows, asked, ["cluster"], k, metric)
-
-
-def _within_buckets(rows: DataFrame, asked: DataFrame, keys: Sequence[str], k: int, metric: str) -> DataFrame:
-    """(query_id, id, similarity, rank) from an equi-join on the bucket, scored by Arrow batches; a pair met in several
-    buckets counts once. Only the k best of each query and salt survive the first ranking."""
-    left = asked.select(F.col("id").alias("query_id"), F.col("values").alias("q"), *keys)
-    pairs = rows.join(left, list(keys)).where(F.col("id") != F.col("query_id")).select("query_id", "id", "q", "values")
-
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=float)
-        x, y = np.stack(a.to_numpy()).astype(float), np.stack(b.to_numpy()).astype(float)
-        if metric == "cosine":
-            size = np.sqrt((x * x).sum(1) * (y * y).sum(1))
-            return pd.Series(np.round(np.divide((x * y).sum(1), size, out=np.zeros(len(x)), where=size > 0), 6))
-        return pd.Series(np.round(1 / (1 + np.sqrt(((x - y) ** 2).sum(1))), 6))
-
-    scored = pairs.select("query_id", "id", score("q", "values").alias("similarity")).distinct()
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return best_of(grid(index.rows, asked, ["cluster"], k, scorer(metric)), k)
 
 
 def lsh_buckets(df: DataFrame, dim: int, tables: int = 10, projections: int = 4, width: float = 1.0, seed: int = 100) -> DataFrame:
@@ -126,7 +119,9 @@ def lsh_buckets(df: DataFrame, dim: int, tables: int = 10, projections: int = 4,
 
 
 def lsh_search(buckets: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    return _within_buckets(buckets, buckets.join(queries.select("id"), "id", "left_semi"), ["table", "bucket"], k, metric)
+    """Queries meet the rows of their buckets; a pair met in several tables counts once."""
+    asked = buckets.join(queries.select("id"), "id", "left_semi")
+    return best_of(grid(buckets, asked, ["table", "bucket"], k, scorer(metric)).distinct(), k)
 
 
 # Product quantisation
@@ -146,10 +141,11 @@ class Codebooks:
         x = x @ self.rotation
         return np.stack([nearest(x[:, i * self.sub : (i + 1) * self.sub], b, 1)[:, 0] for i, b in enumerate(self.books)], 1)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """(subspaces, centroids): squared distances of the parts of one query."""
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """For each subspace (queries, centroids): squared distances of the parts of the queries."""
         q = q @ self.rotation
-        return np.stack([((b - q[i * self.sub : (i + 1) * self.sub]) ** 2).sum(1) for i, b in enumerate(self.books)])
+        parts = [q[:, i * self.sub : (i + 1) * self.sub] for i in range(len(self.books))]
+        return [((p * p).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * p @ b.T) for p, b in zip(parts, self.books)]
 
 
 def pq_train(df: DataFrame, sub: int = 8, centroids: int = 256, seed: int = 100, sample: int = SAMPLE, rotate: bool = False) -> Codebooks:
@@ -177,70 +173,69 @@ def pq_encode(df: DataFrame, books: Codebooks) -> DataFrame:
 
 
 def pq_search(encoded: DataFrame, queries: DataFrame, k: int, books: Codebooks, refine: int = 10) -> DataFrame:
-    """Table lookups give k x refine candidates per query and task; the survivors are reranked by exact distance."""
+    """Table lookups give k x refine candidates per query and group; the survivors are reranked by exact distance."""
     keep = k * refine
-    parts = [_pq_block(encoded, names, [books.tables(v) for v in q], keep) for names, q in query_blocks(queries)]
-    rough = parts[0] if parts else encoded.sparkSession.createDataFrame([], pair_schema(encoded.schema["id"].dataType, "d"))
-    for p in parts[1:]:
-        rough = rough.unionByName(p)
-    first = Window.partitionBy("query_id").orderBy("d", "id")
-    few = rough.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep)
+    sent = encoded.sparkSession.sparkContext.broadcast(books)
+
+    def make(q: np.ndarray, column):
+        tables = sent.value.tables(q)
+        usable, codes = matrix(column, len(tables))
+        codes = codes.astype(np.int64)
+        return usable, lambda a, b: -sum(t[:, codes[a:b, i]] for i, t in enumerate(tables))
+
+    one = F.lit(0).alias("key")
+    rough = grid(encoded.select("id", "codes", one), queries.select("id", "values", one), ["key"], keep, make, column="codes")
+    few = best_of(rough, keep).select("query_id", "id")
     exact = few.join(encoded.select("id", "values"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("values").alias("q")), "query_id")
     scored = exact.select("query_id", "id", F.round(V.similarity_of_distance(V.euclidean(F.col("q"), F.col("values"))), 6).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
+    return best_of(scored, k)
 
-def _pq_block(encoded: DataFrame, names: np.ndarray, tables: list[np.ndarray], keep: int) -> DataFrame:
-    schema = pair_schema(encoded.schema["id"].dataType, "d")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [None] * len(names)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c, ids = np.array(batch.column("codes").to_pylist()), batch.column("id").to_numpy(zero_copy_only=False)
-            for j, t in enumerate(tables):
-                d = t[np.arange(t.shape[0])[None, :], c].sum(1)
-                d[ids == names[j]] = np.inf
-                i, d = (ids, d) if held[j] is None else (np.concatenate([held[j][0], ids]), np.concatenate([held[j][1], d]))
-                top = np.argsort(d, kind="stable")[:keep]
-                held[j] = (i[top], d[top])
-        rows = [(names[j], i, float(x)) for j, h in enumerate(held) if h is not None for i, x in zip(*h) if np.isfinite(x)]
-        if rows:
-            q, i, x = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(list(q)), pa.array(list(i)), pa.array(x)], names=schema.names)
-
-    return encoded.select("id", "codes").mapInArrow(run, schema)
+# Graph
 
 
-# Graph
+class Hnsw:
+    """Navigable graphs of parts of the rows, built once and kept: (part, graph), and the centre of each part."""
 
+    def __init__(self, graphs: DataFrame, centres: np.ndarray, salts: int) -> None:
+        self.graphs, self.centres, self.salts = graphs, centres, salts
 
-def hnsw_search(df: DataFrame, queries: DataFrame, k: int, m: int = 16, ef: int = 64, rows_per_graph: int = 5000, seed: int = 100) -> DataFrame:
-    """A navigable graph in each hash part of about rows_per_graph rows; every part is searched and the results merge."""
-    parts = max(1, math.ceil(df.count() / rows_per_graph))
-    rows = df.where("values is not null").select("id", "values", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    schema = pair_schema(df.schema["id"].dataType, "similarity")
-    out = None
 
-    def searching(names: np.ndarray, asked: np.ndarray):
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            ids, x = group["id"].to_numpy(), np.stack(group["values"].to_numpy()).astype(np.float32)
-            graph = Graph(x, m, seed)
-            found = []
-            for name, q in zip(names, asked.astype(np.float32)):
-                found += [(name, ids[i], round(1 / (1 + d), 6)) for d, i in graph.search(q, ef) if ids[i] != name][:k]
-            return pd.DataFrame(found, columns=schema.names)
+def hnsw_build(df: DataFrame, m: int = 16, rows_per_graph: int = 5000, seed: int = 100, sample: int = SAMPLE) -> Hnsw:
+    """A part is a cluster of neighbours, cut by hash where it holds more than rows_per_graph rows."""
+    x = training_rows(df, sample)
+    n = df.where("values is not null").count()
+    centres = kmeans(x, max(1, round(n / rows_per_graph)), seed) if len(x) else np.zeros((1, 1))
+    rows = _assign(df.select("id", "values"), centres, 1, "cluster")
+    # a row per cluster
+    most = rows.groupBy("cluster").count().agg(F.max("count")).first()[0] or 0
+    salts = max(1, math.ceil(most / (2 * rows_per_graph)))
+    schema = T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("salt", T.IntegerType()), T.StructField("graph", T.BinaryType())])
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(group["values"].to_numpy()).astype(np.float32)
+        graph = Graph(x, m, seed)
+        return pd.DataFrame({"cluster": [group["cluster"].iloc[0]], "salt": [group["salt"].iloc[0]], "graph": [pickle.dumps((group["id"].to_numpy(), graph))]})
+
+    parts = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    return Hnsw(durable(parts.groupBy("cluster", "salt").applyInPandas(build, schema)), centres, salts)
+
+
+def hnsw_search(index: Hnsw, queries: DataFrame, k: int, ef: int = 64, probes: int = 4) -> DataFrame:
+    """Every query searches the graphs of its `probes` nearest parts."""
+    schema = pair_schema(queries.schema["id"].dataType, "similarity")
+    asked = _assign(queries.select("id", "values"), index.centres, min(probes, len(index.centres)), "cluster")
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(index.salts - 1))))
 
-        return run
+    def run(graphs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for blob in graphs["graph"]:
+            ids, graph = pickle.loads(blob)
+            for name, q in zip(block["id"], block["values"]):
+                found += [(name, ids[i], round(1 / (1 + d), 6)) for d, i in graph.search(np.asarray(q, np.float32), ef) if ids[i] != name][:k]
+        return pd.DataFrame(found, columns=schema.names)
 
-    for names, asked in query_blocks(queries):
-        part = rows.groupBy("part").applyInPandas(searching(names, asked), schema)
-        out = part if out is None else out.unionByName(part)
-    out = df.sparkSession.createDataFrame([], schema) if out is None else out
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return best_of(index.graphs.groupBy("cluster", "salt").cogroup(asked.groupBy("cluster", "salt")).applyInPandas(run, schema), k)
 
 
 class Graph:
@@ -297,15 +292,3 @@ class Graph:
         for l in range(len(self.links[at]) - 1, 0, -1):
             at = self.beam(q, at, 1, l)[0][1]
         return [(d**0.5, j) for d, j in self.beam(q, at, ef, 0)]
-
-
-# Choice
-
-
-def choose(rows: int, dim: int, k: int, available: Sequence[str], recall: float = 0.95) -> str:
-    """The index of the least estimated cost; a full scan where no other is there."""
-    costs = {"flat": rows * dim * 0.001, "hnsw": math.log2(max(rows, 2)) * dim * 0.01 / recall, "ivf": math.sqrt(rows) * dim * 0.005, "lsh": dim * 0.002 + k * 0.001}
-    return min(["flat", *[a for a in available if a in costs]], key=lambda a: costs[a])
-
-
-__all__ = ["batch_search", "choose", "hnsw_search", "ivf_build", "ivf_search", "kmeans", "lsh_buckets", "lsh_search", "pq_encode", "pq_search", "pq_train", "quantise"]

@@ -19,6 +19,34 @@ def split_expired(df: DataFrame, created: str, as_of: str, days: int) -> tuple[D
     return df.where(~old), df.where(old)
 
 
+def cleanup_plan(df: DataFrame, created: str, as_of: str, days: int, batch: int = 1000) -> DataFrame:
+    """One row on what a cleanup would delete: n, batches of at most `batch` rows, oldest, newest."""
+    n = F.count(F.lit(1))
+    return split_expired(df, created, as_of, days)[1].agg(n.alias("n"), F.ceil(n / batch).alias("batches"), F.min(created).alias("oldest"), F.max(created).alias("newest"))
+
+
+def restore(live: DataFrame, archive: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of the archive brought back; a condition that is null brings nothing back."""
+    back = F.coalesce(wanted, F.lit(False))
+    return live.unionByName(archive.where(back), allowMissingColumns=True), archive.where(~back)
+
+
+def rotate(archive: DataFrame, created: str, expires: str, newest: int, tie: str) -> DataFrame:
+    """The archive's newest rows that have not expired."""
+    kept = archive.where(~F.coalesce(F.col(created).cast("timestamp") < F.to_timestamp(F.lit(expires)), F.lit(False)))
+    return kept.orderBy(F.desc_nulls_last(created), tie).limit(newest)
+
+
+def export_person(tables: dict[str, DataFrame], users: list[str], user: str = "user_id") -> dict[str, DataFrame]:
+    """The rows of the given persons in every table."""
+    return {name: df.where(F.col(user).isin(*users)) for name, df in tables.items()}
+
+
+def purge(df: DataFrame, created: str, as_of: str, days: int) -> DataFrame:
+    """Without the rows past their period, except erased ones, which prove the erasure. df: as erase gives it."""
+    return df.where(F.col("erased") | ~expired(F.col(created), as_of, days))
+
+
 def erase(df: DataFrame, users: list[str], user: str = "user_id", fields: tuple[str, ...] = ("query_text",)) -> DataFrame:
     """Rows stay, the users' fields become a mark."""
     own = F.coalesce(F.col(user).isin(*users), F.lit(False))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,31 +95,23 @@ def sharded(df: DataFrame, query: Sequence[float], k: int, shard: Column, id_col
     return best.select(id_column, "shard", "similarity").orderBy(F.desc("similarity"), id_column).limit(k)
 
 
-BLOCK = 4096
-
-
-def query_blocks(queries: DataFrame, id_column: str = "id", values: str = "values", block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the queries in blocks of about `block` vectors, however many there are. Null vectors are left out."""
-    rows = queries.select(F.col(id_column).alias("query_id"), F.col(values).alias("v")).where("v is not null")
-    blocks = max(1, math.ceil(rows.count() / block))
-    for b in range(blocks):
-        own = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toPandas()
-        if len(own):
-            dim = len(own["v"].iloc[0])
-            own = own[[len(v) == dim for v in own["v"]]]
-            yield own["query_id"].to_numpy(), np.stack(own["v"].to_numpy()).astype(float)
+#: Queries, and rows, that one task compares at once.
+BLOCK, ROWS = 4096, 50_000
 
 
 def pair_schema(id_type: T.DataType, score: str) -> T.StructType:
     return T.StructType([T.StructField("query_id", id_type), T.StructField("id", id_type), T.StructField(score, T.DoubleType())])
 
 
-def _similarities(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+def similarities(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """(queries, rows), rounded to 6 digits."""
     if metric == "euclidean":
         d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
         return np.round(1 / (1 + np.sqrt(d)), 6)
     if metric == "cosine":
         q, x = _unit(q), _unit(x)
+    elif metric != "dot":
+        return np.round(V.BLOCK_METRICS[metric](q, x), 6)
     return np.round(q @ x.T, 6)
 
 
@@ -128,76 +120,178 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def _scored(corpus: DataFrame, names: np.ndarray, q: np.ndarray, id_column: str, values: str, metric: str, pick, rest) -> DataFrame:
-    """A pass over the corpus with one block of queries. pick(similarities, ids) is called per 4096 rows and rest() at
-    the end of a task; both give lists of (query number, id, similarity)."""
-    id_type = corpus.schema[id_column].dataType
-    schema, dim = pair_schema(id_type, "similarity"), q.shape[1]
-    arrow = T_ARROW(id_type)
-
-    def out(found: list) -> Iterator[pa.RecordBatch]:
-        if found:
-            j, i, s = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in j], arrow), pa.array(i, arrow), pa.array(s, pa.float64())], names=schema.names)
+def matrix(column: pa.ChunkedArray, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the vectors of `dim` elements (of the first vector's where not given), and these vectors."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = pa.concat_arrays(rows.chunks) if isinstance(rows, pa.ChunkedArray) else rows
+    size = pc.fill_null(pc.list_value_length(rows), -1).to_numpy(zero_copy_only=False)
+    if dim is None:
+        dim = int(size[size > 0][0]) if (size > 0).any() else 0
+    own = np.nonzero(size == dim)[0]
+    flat = rows.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float)
+    return own, flat.reshape(-1, dim) if dim else np.zeros((0, 0))
+
+
+class Best:
+    """The k best rows of every query so far, ties by id."""
+
+    def __init__(self, n_queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(n_queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def offer(self, s: np.ndarray, ids: np.ndarray) -> None:
+        if s.shape[1] > self.k:
+            self.least = np.maximum(self.least, np.partition(s, -self.k, axis=1)[:, -self.k])
+        j, c = np.nonzero((s >= self.least[:, None]) & (s > -np.inf))
+        self.held.append((j, ids[c], s[j, c]))
+        self.size += len(j)
+        if self.size > 4 * self.k * len(self.least) + 100_000:
+            self.held = [self.take()]
+            self.size = len(self.held[0][0])
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        j, ids, s = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, -s, j))
+        j, ids, s = j[order], ids[order], s[order]
+        keep = np.arange(len(j)) - np.searchsorted(j, j) < self.k
+        return j[keep], ids[keep], s[keep]
+
+
+def names_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Ids as an array that can be sorted."""
+    out = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+    return out.astype(str) if out.dtype == object else out
+
+
+def score_blocks(names: np.ndarray, q: np.ndarray, ids: np.ndarray, score, k: int | None, threshold: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, similarity) of one block of queries and rows; a query's own id is left out. score(a, b): the
+    similarities to rows a to b. k: only the best; None: all that reach the threshold."""
+    best, all_found = Best(len(names), k or 1), []
+    own = np.isin(ids, names)
+    order = np.argsort(names, kind="stable")
+    for at in range(0, len(ids), BLOCK):
+        part = ids[at : at + BLOCK]
+        s = score(at, at + len(part))
+        for c in np.nonzero(own[at : at + BLOCK])[0]:
+            lo, hi = np.searchsorted(names, part[c], "left", sorter=order), np.searchsorted(names, part[c], "right", sorter=order)
+            s[order[lo:hi], c] = -np.inf
+        if k:
+            best.offer(s, part)
+        else:
+            j, c = np.nonzero(s >= threshold)
+            all_found.append((j, part[c], s[j, c]))
+    if k:
+        j, i, s = best.take()
+        keep = s >= (-np.inf if threshold is None else threshold)
+        return j[keep], i[keep], s[keep]
+    return tuple(np.concatenate(x) for x in zip(*all_found)) if all_found else best.take()
+
+
+def grid(rows: DataFrame, asked: DataFrame, keys: Sequence[str], k: int | None, make_score, column: str = "values", threshold: float | None = None) -> DataFrame:
+    """(query_id, id, similarity): queries meet the rows with the same keys. rows: id, `column`, keys; asked: id, values, keys.
+
+    Each key's rows are cut into parts of about ROWS and its queries into blocks of about BLOCK, by hash; each pair of
+    part and block is one group, in which the k best of each query are found by matrix products (None: all above the
+    threshold). Nothing goes through the driver; a hot key has as many groups as its rows and queries need.
+    make_score(q, column of the rows) gives positions of usable rows and a function of row bounds to similarities.
+    """
+    names = list(keys)
+    size = rows.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("parts"))
+    wide = asked.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    both = size.join(wide, names)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.select("id", column, *names).join(both, names).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", spread("blocks"))
+    right = asked.select(F.col("id").alias("query_id"), F.col("values").alias("q"), *names).where("q is not null").join(both, names).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("part", spread("parts"))
+    schema = pair_schema(rows.schema["id"].dataType, "similarity")
+    arrow = T_ARROW(rows.schema["id"].dataType)
+
+    def run(own: pa.Table, block: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], arrow), "id": pa.array([], arrow), "similarity": pa.array([], pa.float64())})
+        if not own.num_rows or not block.num_rows:
+            return empty
+        at, q = matrix(block["q"])
+        asked_ids = names_of(block["query_id"])[at]
+        usable, score = make_score(q, own[column])
+        j, i, s = score_blocks(asked_ids, q, names_of(own["id"])[usable], score, k, threshold)
+        return pa.table({"query_id": pa.array(asked_ids[j], arrow), "id": pa.array(i, arrow), "similarity": pa.array(s, pa.float64())})
+
+    group = [*names, "part", "block"]
+    # other names, as both sides know the sizes by the same columns
+    right = right.select("query_id", "q", *[F.col(c).alias(f"of_{c}") for c in group])
+    return left.select("id", column, *group).groupBy(*group).cogroup(right.groupBy(*[f"of_{c}" for c in group])).applyInArrow(run, schema)
+
+
+def scorer(metric: str):
+    """make_score of grid for vectors."""
+
+    def make(q: np.ndarray, column: pa.ChunkedArray):
+        usable, x = matrix(column, q.shape[1])
+        return usable, lambda a, b: similarities(q, x[a:b], metric)
+
+    return make
+
+
+def _held(corpus: DataFrame, queries: DataFrame, k: int | None, metric: str, threshold: float | None) -> DataFrame:
+    """One pass over corpus (id, values) with at most BLOCK queries, which every task holds."""
+    found = queries.where("values is not null").select("id", "values").toArrow()
+    id_type = corpus.schema["id"].dataType
+    schema, arrow = pair_schema(id_type, "similarity"), T_ARROW(id_type)
+    at, q = matrix(found["values"])
+    names = names_of(found["id"])[at]
+    sent = corpus.sparkSession.sparkContext.broadcast((names, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
-        for batch in batches:
-            frame = batch.to_pandas()
-            frame = frame[[v is not None and len(v) == dim for v in frame["v"]]]
-            for at in range(0, len(frame), 4096):
-                part = frame.iloc[at : at + 4096]
-                ids = part["i"].to_numpy()
-                s = _similarities(q, np.stack(part["v"].to_numpy()).astype(float), metric)
-                s[names[:, None] == ids[None, :]] = -np.inf
-                yield from out(pick(state, s, ids))
-        yield from out(rest(state))
-
-    return corpus.select(F.col(id_column).alias("i"), F.col(values).alias("v")).mapInArrow(run, schema)
-
-
-def _union(parts: list[DataFrame], corpus: DataFrame, id_column: str) -> DataFrame:
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], pair_schema(corpus.schema[id_column].dataType, "similarity"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        names, q = sent.value
+        for table in _tables(batches):
+            usable, x = matrix(table["values"], q.shape[1])
+            j, i, s = score_blocks(names, q, names_of(table["id"])[usable], lambda a, b: similarities(q, x[a:b], metric), k, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(names[j], arrow), pa.array(i, arrow), pa.array(s, pa.float64())], names=schema.names)
+
+    return corpus.select("id", "values").mapInArrow(run, schema)
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= ROWS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _batch(corpus: DataFrame, queries: DataFrame, k: int | None, metric: str, id_column: str, values: str, threshold: float | None) -> DataFrame:
+    rows, asked = (x.select(F.col(id_column).alias("id"), F.col(values).alias("values")) for x in (corpus, queries))
+    if asked.limit(BLOCK + 1).count() <= BLOCK:
+        return _held(rows, asked, k, metric, threshold)
+    one = F.lit(0).alias("key")
+    return grid(rows.select("*", one), asked.select("*", one), ["key"], k, scorer(metric), threshold=threshold)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, similarity, rank): the k best of each query over all groups."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def batch_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_column: str = "id", values: str = "values", threshold: float | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the k best rows of corpus for every query, the query's own id left out.
 
-    Queries go in blocks of about BLOCK vectors, each held by every task while it scans its part of the corpus by
-    matrix products; a task sends k rows per query to the merge. Null vectors and other dimensions are left out.
+    Up to BLOCK queries are held by every task of one pass over the corpus; more of them meet the corpus in a grid of
+    blocks (see grid). A task sends k rows per query to the merge. Null vectors and other dimensions are left out.
     """
-
-    def pick(state: dict, s: np.ndarray, ids: np.ndarray) -> list:
-        keep = min(k, s.shape[1])
-        edge = np.partition(s, -keep, axis=1)[:, -keep]
-        for j in range(len(s)):
-            hits = np.nonzero((s[j] >= edge[j]) & np.isfinite(s[j]))[0]
-            own = state.setdefault(j, [])
-            own += [(-s[j][c], ids[c]) for c in hits]
-            if len(own) > 4 * k:
-                state[j] = sorted(own)[:k]
-        return []
-
-    def rest(state: dict) -> list:
-        return [(j, i, -s) for j, own in state.items() for s, i in sorted(own)[:k] if threshold is None or -s >= threshold]
-
-    found = _union([_scored(corpus, names, q, id_column, values, metric, pick, rest) for names, q in query_blocks(queries, id_column, values)], corpus, id_column)
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return best_of(_batch(corpus, queries, k, metric, id_column, values, threshold), k)
 
 
 def batch_range(corpus: DataFrame, queries: DataFrame, threshold: float, metric: str = "cosine", id_column: str = "id", values: str = "values") -> DataFrame:
-    """(query_id, id, similarity) of all rows that reach the threshold for a query; nothing is held back in a task."""
-
-    def pick(state: dict, s: np.ndarray, ids: np.ndarray) -> list:
-        return [(j, ids[c], s[j, c]) for j, c in zip(*np.nonzero(s >= threshold))]
-
-    return _union([_scored(corpus, names, q, id_column, values, metric, pick, lambda state: []) for names, q in query_blocks(queries, id_column, values)], corpus, id_column)
+    """(query_id, id, similarity) of all rows that reach the threshold for a query."""
+    return _batch(corpus, queries, None, metric, id_column, values, threshold)
 
 
 def T_ARROW(kind: T.DataType) -> pa.DataType:

@@ -1,8 +1,8 @@
 """A store of vector records in Parquet: append, upsert, delete, compact, snapshot, back up.
 
-Rows: id, version and whatever else; the current row of an id is that of the highest version. Writes go to a new
-folder and replace the old one by a pointer file, so that readers never see half a table and a failed job leaves the
-old state. The pointer names the folder of the current state.
+Rows: id, version and whatever else; the current row of an id is that of the highest version. A write goes to a hidden
+folder, which gets its name, `state-<number>-...`, when it is whole, so that readers never see half a table and a failed
+job leaves the old state. The state with the largest number is the current one; numbers are never used again.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def checksum(columns: Sequence[str]) -> Column:
 
 def integrity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: rows, distinct ids, checksum."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.pmod(F.sum(checksum(columns)), F.lit(1 << 31)).alias("checksum"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.pmod(F.sum(checksum(columns).cast("decimal(20,0)")), F.lit(1 << 31)).cast("bigint").alias("checksum"))
 
 
 class Store:
@@ -102,17 +102,31 @@ class Store:
 
     def write(self, df: DataFrame, files: int | None = None) -> str:
         """A new state; it counts from the moment its folder has its final name."""
-        number = len(self.snapshots())
-        name, hidden = f"state-{number:08d}-{uuid.uuid4().hex[:8]}", f"{self.folder}/_new-{uuid.uuid4().hex}"
+        hidden = f"{self.folder}/_new-{uuid.uuid4().hex}"
         (df.coalesce(files) if files else df).write.parquet(hidden)
+        name = f"state-{self._claim():08d}-{uuid.uuid4().hex[:8]}"
         fs, source = self._fs(hidden)
         if not fs.rename(source, self._fs(f"{self.folder}/{name}")[1]):
             raise OSError(f"cannot publish {name}")
         return name
 
+    def _claim(self) -> int:
+        """The next number. An empty file marks it as taken: of two writers, one fails to create it and goes on."""
+        fs, folder = self._fs(f"{self.folder}/_taken")
+        fs.mkdirs(folder)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] + [n.split("-")[1] for n in self.snapshots()]
+        number = max((int(n) for n in names if n.isdigit()), default=-1) + 1
+        while not fs.createNewFile(self._fs(f"{self.folder}/_taken/{number:08d}")[1]):
+            number += 1
+        return number
+
     def restore(self, name: str) -> str:
         return self.write(self.read(name))
 
+    def verify(self, name: str, columns: Sequence[str], expected: DataFrame) -> bool:
+        """Whether a state holds the same rows as `expected`."""
+        return integrity(self.read(name), columns).first() == integrity(expected, columns).first()
+
     def compact(self, files: int | None = None) -> str:
         return self.write(live(self.read()), files)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql import functions as F
@@ -54,14 +53,20 @@ def upsert(spark, d):
     return R.upsert(r.where("version = 1"), r.where("version <> 1 or version is null"), "id", ("version", "updated_at")).select("id", "version", "owner")
 
 
-@query("batch_store")
+VALID = 'id IS NOT NULL AND id <> \'\' AND len("values") = 64 AND len(list_filter("values", lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0'
+
+
+@query("batch_store", f"""SELECT count(*) FILTER ({VALID}) AS stored, count(*) FILTER (NOT coalesce({VALID}, false)) AS rejected, true AS intact FROM arrow_utils""")
 def batch_store(spark, d):
-    """All rows validated, the good ones appended, the table read again."""
+    """All rows validated, the good ones stored and read again: as many, and with the same checksum."""
     good, bad = N.split_valid(records(spark, d), N.vector_errors(64))
     store = R.Store(spark, scratch(spark, "store"))
     store.write(good)
-    stored = R.integrity(store.read(), ["id", "version"]).select(F.lit("stored").alias("part"), "n", "checksum")
-    return stored.unionByName(R.integrity(good, ["id", "version"]).select(F.lit("valid").alias("part"), "n", "checksum")).unionByName(R.integrity(bad, ["id", "version"]).select(F.lit("rejected").alias("part"), "n", "checksum"))
+    sent, kept = (R.integrity(x, ["id", "version", "values"]).select(*[F.col(c).alias(f"{c}_{side}") for c in ("n", "checksum")]) for side, x in (("sent", good), ("kept", store.read())))
+    refused = bad.agg(F.count(F.lit(1)).alias("rejected"))
+    # one row each
+    whole = (F.col("n_sent") == F.col("n_kept")) & (F.col("checksum_sent") == F.col("checksum_kept"))
+    return kept.crossJoin(F.broadcast(sent)).crossJoin(F.broadcast(refused)).select(F.col("n_kept").alias("stored"), "rejected", whole.alias("intact"))
 
 
 @query("update_delete", """SELECT id, version, CASE WHEN owner = 'owner01' THEN 'owner99' ELSE owner END AS owner FROM arrow_utils WHERE id NOT IN (SELECT id FROM arrow_utils WHERE status = 'archived')""")
@@ -98,27 +103,78 @@ def incremental_diff(spark, d):
     return R.changed(before, after)
 
 
-@query("integrity")
+@query("integrity", "SELECT count(*) AS n, count(DISTINCT id) AS ids, true AS same_in_any_order, true AS tells_a_missing_row FROM arrow_utils")
 def integrity(spark, d):
-    return R.integrity(records(spark, d), ["id", "version", "values"])
+    """Counts, and what the checksum must do."""
+    r, columns = records(spark, d), ["id", "version", "values"]
+    all_rows = R.integrity(r, columns)
+    again = R.integrity(r.repartition(7, "version"), columns).select(F.col("checksum").alias("again"))
+    one = r.orderBy("id", "version").limit(1)
+    less = R.integrity(r.where(F.col("id") != one.first()["id"]), columns).select(F.col("checksum").alias("less"))
+    return all_rows.crossJoin(F.broadcast(again)).crossJoin(F.broadcast(less)).select("n", "ids", (F.col("checksum") == F.col("again")).alias("same_in_any_order"), (F.col("checksum") != F.col("less")).alias("tells_a_missing_row"))
+
+
+def with_states(spark, d) -> R.Store:
+    """A store with a state per highest version 1 to 4."""
+    store = R.Store(spark, scratch(spark, "states"))
+    for v in range(1, 5):
+        store.write(records(spark, d).where(F.col("version") <= v))
+    return store
+
+
+STATE = "(SELECT count(*) FROM arrow_utils WHERE version <= {})"
+
+
+@query("snapshot_list", " UNION ALL ".join(f"SELECT {v} AS state, {STATE.format(v)} AS n" for v in range(1, 5)))
+def snapshot_list(spark, d):
+    """Every state with its rows."""
+    store = with_states(spark, d)
+    out = None
+    for i, name in enumerate(store.snapshots(), 1):
+        one = store.read(name).agg(F.lit(i).alias("state"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
+@query("snapshot_restore", f"SELECT 5 AS states, {STATE.format(2)} AS n, true AS intact")
+def snapshot_restore(spark, d):
+    """An older state made the current one again, and verified."""
+    store = with_states(spark, d)
+    name = store.restore(store.snapshots()[1])
+    intact = store.verify(name, ["id", "version", "values"], records(spark, d).where("version <= 2"))
+    return store.read().agg(F.lit(len(store.snapshots())).alias("states"), F.count(F.lit(1)).alias("n"), F.lit(intact).alias("intact"))
 
-@query("import_json")
+
+@query("snapshot_prune", f"SELECT 3 AS states, {STATE.format(1)} AS n")
+def snapshot_prune(spark, d):
+    """The two newest states kept, then another written, which is the one that is read."""
+    store = with_states(spark, d)
+    store.keep(2)
+    store.write(records(spark, d).where("version <= 1"))
+    return store.read().agg(F.lit(len(store.snapshots())).alias("states"), F.count(F.lit(1)).alias("n"))
+
+
+FINITE = 'id IS NOT NULL AND len("values") > 0'
+IMPORTED = "SELECT count(*) AS total, count(*) FILTER ({0}) AS imported, count(*) - count(*) FILTER ({0}) AS errors, round(count(*) FILTER ({0}) * 100 / count(*), 4) AS success_rate FROM products"
+
+
+@query("import_json", IMPORTED.format(FINITE))
 def import_json(spark, d):
-    """Products written as JSON and imported again; statistics of the import."""
+    """Products written as arrays of JSON records and imported again; statistics of the import."""
     folder = scratch(spark, "json")
-    J.write_json(table(spark, d, "products").select("id", "values", F.create_map(F.lit("text"), F.coalesce("metadata", F.lit(""))).alias("metadata")), folder)
-    return J.import_statistics(spark.read.schema(J.IMPORT_SCHEMA).json(folder))
+    own = table(spark, d, "products").select("id", "values", F.create_map(F.lit("text"), F.coalesce("metadata", F.lit(""))).alias("metadata"))
+    J.write_json_arrays(own, folder)
+    return J.import_statistics(J.read_json(spark, folder))
 
 
-@query("import_csv")
+@query("import_csv", IMPORTED.format(FINITE))
 def import_csv(spark, d):
     folder = scratch(spark, "csv")
     J.write_csv(table(spark, d, "products").select("id", "values", F.when(F.get_json_object("metadata", "$.name").isNotNull(), F.col("metadata")).alias("metadata")), folder)
     return J.import_statistics(J.read_csv(spark, folder))
 
 
-@query("export_csv")
+@query("export_csv", f"SELECT count(*) AS exported, count(*) AS equal FROM ({LAST})")
 def export_csv(spark, d):
     """Export of all latest records and its round trip: rows whose values came back as they were, nulls as nulls."""
     folder = scratch(spark, "export")
@@ -135,9 +191,16 @@ def import_stats(spark, d):
     return J.import_statistics(table(spark, d, "products"))
 
 
-@query("extract_text", "SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\\s\\x{00A0}]+', ' ', 'g'))) AS n FROM documents WHERE regexp_matches(text, '<(p|li)>')")
+@query("extract_text", "SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\\s\\x{00A0}]+', ' ', 'g'))) AS n FROM documents WHERE text IS NOT NULL")
 def extract_text(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike("<(p|li)>")).select("doc_id", F.length(J.plain_text(F.col("text"))).cast("bigint").alias("n"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(J.plain_text(F.col("text"))).cast("bigint").alias("n"))
+
+
+@query("extract_docx", "SELECT doc_id, length(text) AS n, true AS same FROM documents WHERE text IS NOT NULL AND lang = 'en' AND NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\r]')")
+def extract_docx(spark, d):
+    """English texts packed as word-processor files and extracted again."""
+    own = table(spark, d, "documents").where("text is not null and lang = 'en'").where(~F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\r]"))
+    return own.select("doc_id", "text", J.docx_text(J.as_docx(F.col("text"))).alias("back")).select("doc_id", F.length("back").cast("bigint").alias("n"), (F.col("back") == F.col("text")).alias("same"))
 
 
 # Access: customers are users, nations groups, market segments roles, suppliers' nations grant databases
@@ -175,15 +238,15 @@ def rbac_union(spark, d):
     return rbac_user_perms(spark, d).union(rbac_group_perms(spark, d)).distinct()
 
 
-GRANT = f"""{RBAC}, granted AS (SELECT c_custkey AS user_id, s_suppkey AS database_id FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50 AND s_suppkey < 50
-  UNION SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND s_suppkey < 50)"""
+GRANT = f"""{RBAC}, granted AS (SELECT c_custkey AS user_id, s_suppkey AS database_id FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50
+  UNION SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey)"""
 
 
 @query("rbac_db_perms", f"{GRANT} SELECT * FROM granted")
 def rbac_db_perms(spark, d):
     """Databases granted to users directly or by their groups."""
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("group_id"))
-    dbs = table(spark, d, "supplier").where("s_suppkey < 50").select(F.col("s_suppkey").alias("database_id"), F.col("s_nationkey").alias("group_id"))
+    dbs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("database_id"), F.col("s_nationkey").alias("group_id"))
     direct = users.withColumn("k", F.col("user_id") % 50).join(dbs.withColumn("k", F.col("database_id") % 50).select("k", "database_id"), "k").select("user_id", "database_id")
     return direct.union(users.join(dbs, "group_id").select("user_id", "database_id")).distinct()
 
@@ -224,6 +287,43 @@ def archive_split(spark, d):
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
+OLD = "coalesce(uploaded_at < TIMESTAMP '2018-01-08' - INTERVAL 3 DAY, false)"
+
+
+@query("cleanup_plan", f"SELECT count(*) AS n, ceil(count(*) / 100.0)::BIGINT AS batches, min(uploaded_at) AS oldest, max(uploaded_at) AS newest FROM documents WHERE {OLD}")
+def cleanup_plan(spark, d):
+    """What a cleanup would delete, and in how many batches; nothing is deleted."""
+    return Y.cleanup_plan(table(spark, d, "documents"), "uploaded_at", "2018-01-08", 3, 100)
+
+
+@query("archive_restore", f"SELECT count(*) FILTER (NOT {OLD} OR lang = 'en') AS live, count(*) FILTER ({OLD} AND coalesce(lang, '') <> 'en') AS archived FROM documents")
+def archive_restore(spark, d):
+    """Old documents moved to the archive, the English ones brought back."""
+    live, old = Y.split_expired(table(spark, d, "documents"), "uploaded_at", "2018-01-08", 3)
+    live, old = Y.restore(live, old, F.col("lang") == "en")
+    return live.agg(F.count(F.lit(1)).alias("live")).crossJoin(F.broadcast(old.agg(F.count(F.lit(1)).alias("archived"))))
+
+
+@query("archive_rotate", """WITH a AS (SELECT doc_id, uploaded_at, row_number() OVER (ORDER BY uploaded_at DESC NULLS LAST, doc_id) AS r FROM documents)
+SELECT doc_id FROM a WHERE r <= 200 AND NOT coalesce(uploaded_at < TIMESTAMP '2018-01-06', false)""")
+def archive_rotate(spark, d):
+    """An archive without what has expired, cut to its newest 200 entries."""
+    return Y.rotate(table(spark, d, "documents"), "uploaded_at", "2018-01-06", 200, "doc_id").select("doc_id")
+
+
+@query("privacy_export", "SELECT 'query_log' AS source, count(*) AS n, min(\"timestamp\") AS first, max(\"timestamp\") AS last FROM query_log WHERE user_id = 'usr_000001'")
+def privacy_export(spark, d):
+    """All that is held on one person."""
+    own = Y.export_person({"query_log": table(spark, d, "query_log")}, ["usr_000001"])
+    return own["query_log"].agg(F.lit("query_log").alias("source"), F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+@query("privacy_purge", "SELECT coalesce(user_id IN ('usr_000001', 'anonymous'), false) AS erased, count(*) AS n FROM query_log WHERE coalesce(user_id IN ('usr_000001', 'anonymous'), false) OR NOT coalesce(logged_at < TIMESTAMP '2018-01-08' - INTERVAL 2 DAY, false) GROUP BY 1")
+def privacy_purge(spark, d):
+    """Rows older than the period are dropped, but for those already erased, which stay as marks."""
+    return Y.purge(Y.erase(table(spark, d, "query_log"), ["usr_000001", "anonymous"]), "logged_at", "2018-01-08", 2).groupBy("erased").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("db_list", "SELECT database_id, count(*) AS n FROM query_log WHERE database_id LIKE '%kb%' GROUP BY 1 ORDER BY 1 LIMIT 20")
 def db_list(spark, d):
     own = table(spark, d, "query_log").where(F.col("database_id").contains("kb")).groupBy("database_id").agg(F.count(F.lit(1)).alias("n"))
@@ -241,7 +341,7 @@ def audit_search(spark, d):
     return Y.page(own, F.desc("timestamp"), F.desc("id"), offset=10).select("id", "user_id", "error_message")
 
 
-@query("encrypt_roundtrip")
+@query("encrypt_roundtrip", "SELECT count(query_text) AS n, count(query_text) AS equal, count(DISTINCT query_text) AS tokens, count(DISTINCT query_text) AS texts FROM query_log")
 def encrypt_roundtrip(spark, d):
     """Texts encrypted and decrypted, and searchable by a deterministic token."""
     key = F.lit("0123456789abcdef")
@@ -253,25 +353,12 @@ def encrypt_roundtrip(spark, d):
 # Streams
 
 
-def stream_of(spark, d, name):
-    """A table as a folder of files, which is what a stream reads."""
-    path = f"{d}/{name}.parquet"
-    return f"{d}/{name}.parquet" if os.path.isdir(path) else path
-
-
-def log_folder(spark, d):
-    path = stream_of(spark, d, "query_log")
-    if os.path.isdir(path):
-        return path
-    # a single file is no folder: the stream reads the folder with a pattern for its name
-    return path
-
-
 def open_log(spark, d):
+    """The log as a stream: a folder of files, or the one file by a pattern for its name."""
     schema = table(spark, d, "query_log").schema
-    path = log_folder(spark, d)
+    path = f"{d}/query_log.parquet"
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100)
-    return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
+    return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", os.path.basename(path)).parquet(d)
 
 
 @query("stream_ingest", "SELECT count(*) AS n, count(DISTINCT query_id) AS queries, sum(total_time_ms)::BIGINT AS total FROM query_log")
@@ -281,8 +368,18 @@ def stream_ingest(spark, d):
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("queries"), F.sum("total_time_ms").alias("total"))
 
 
-@query("stream_hourly", """SELECT database_id, "timestamp" // 3600000 * 3600000 AS time_bucket, count(*) AS total_queries, count(*) FILTER (has_error) AS failed_queries, round(avg(total_time_ms), 9) AS avg_latency_ms FROM query_log WHERE "timestamp" IS NOT NULL GROUP BY 1, 2""")
+@query("stream_hourly", """SELECT database_id, "timestamp" // 3600000 * 3600000 AS time_bucket, count(*) AS total_queries, count(*) FILTER (has_error) AS failed_queries, round(avg(total_time_ms), 9) AS avg_latency_ms,
+  list_sort(list(total_time_ms) FILTER (total_time_ms IS NOT NULL))[greatest(ceil(0.95 * count(total_time_ms) - 1e-9), 1)::BIGINT] AS p95_latency_ms FROM query_log WHERE "timestamp" IS NOT NULL GROUP BY 1, 2""")
 def stream_hourly(spark, d):
+    """Hourly figures kept up to date: each batch writes the hours it changed, readers take an hour's last figures."""
     out, state = scratch(spark, "hourly"), scratch(spark, "hourly-state")
     logs.run_to_end(logs.hourly(open_log(spark, d)), out, state)
-    return spark.read.parquet(out).select("database_id", "time_bucket", "total_queries", "failed_queries", F.round("avg_latency_ms", 9).alias("avg_latency_ms"))
+    return logs.current(spark, out).select("database_id", "time_bucket", "total_queries", "failed_queries", F.round("avg_latency_ms", 9).alias("avg_latency_ms"), "p95_latency_ms")
+
+
+@query("stream_distinct", "SELECT count(DISTINCT query_id) AS n FROM query_log WHERE query_id IS NOT NULL AND \"timestamp\" IS NOT NULL")
+def stream_distinct(spark, d):
+    """The log without redeliveries, as a stream."""
+    out, state = scratch(spark, "once"), scratch(spark, "once-state")
+    logs.ingest(logs.deduplicated(open_log(spark, d).where("query_id is not null and timestamp is not null")), out, state).awaitTermination()
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"))

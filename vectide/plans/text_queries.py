@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vectide.functions.text import normalize_query
+from vectide.functions.text import NORMALISER_STOP_WORDS, normalize_query
 from vectide.functions.words import SEARCH_STOP_WORDS, preprocess, tokens
 from vectide.operators import bm25 as B
 from vectide.operators import chunks as K
@@ -13,11 +13,13 @@ from vectide.operators import fusion as U
 from vectide.operators import search as S
 from vectide.plans.registry import query
 from vectide.plans.vector_queries import COS, L2, embeddings, probe
-from vectide.session import durable
+from vectide.sources.storage import scratch
 from vectide.sources.tables import spread, table
 
+LOWER = {c: c + 32 for c in range(65, 91)}
 ASK = "payslip notice period for the referral bonus payslip"
 STOP = "(" + ", ".join(f"'{w}'" for w in SEARCH_STOP_WORDS) + ")"
+NORMALISER_STOP = "(" + ", ".join(f"'{w}'" for w in NORMALISER_STOP_WORDS) + ")"
 TOK = f"list_filter(string_split_regex(translate({{}}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN {STOP})"
 WORDS = f"w AS (SELECT doc_id, coalesce({TOK.format('text')}, []) AS t FROM documents)"
 POST = f"{WORDS}, p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM w) GROUP BY ALL), c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w)"
@@ -35,16 +37,32 @@ def documents(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
+_INDEXES: dict[tuple[str, str], B.Index] = {}
+
+
+def index_of(spark, d, fresh: bool = False) -> B.Index:
+    """The stored index of a folder's documents, built when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if fresh or key not in _INDEXES:
+        _INDEXES[key] = B.Index(spark, scratch(spark, "bm25")).add(documents(spark, d))
+    return _INDEXES[key]
+
+
+def short(scored, k: int):
+    """The k best rows of a list as a local table, as fusion reads it more than once."""
+    schema = scored.select("doc_id", "score").schema
+    return scored.sparkSession.createDataFrame(scored.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(k).collect(), schema)
+
+
 def keyword(spark, d, k: int = 100):
-    """The k best documents for the query, kept, as fusion reads a candidate list more than once."""
-    scored = B.score(documents(spark, d), ASK)
-    return durable(scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k))
+    """The k best documents for the query."""
+    return short(index_of(spark, d).score(ASK).select("doc_id", F.round("score", 6).alias("score")), k)
 
 
 def nearest(spark, d, k: int = 100):
     """Vector candidates among the documents that have a vector."""
-    own = embeddings(spark, d).join(documents(spark, d).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    return durable(S.search(own, probe(spark, d), S.SearchOptions(top_k=k, threshold=0.0), "vec_id", "embedding").select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score")))
+    own = embeddings(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return short(S.search(own, probe(spark, d), S.SearchOptions(top_k=k, threshold=0.0), "vec_id", "embedding").select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score")), k)
 
 
 @query("tokenize", f"SELECT doc_id, len({TOK.format('text')}) AS n, md5(array_to_string({TOK.format('text')}, ' ')) AS words FROM documents")
@@ -62,8 +80,7 @@ def bm25_idf(spark, d):
 
 @query("bm25_score", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM kw")
 def bm25_score(spark, d):
-    docs = documents(spark, d)
-    return B.score_index(B.inverted(docs), B.doc_lengths(docs), ASK).select("doc_id", F.round("score", 6).alias("score"))
+    return index_of(spark, d).score(ASK).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
@@ -78,15 +95,50 @@ def inverted_index(spark, d):
 
 @query("bm25_index", f"WITH {POST} SELECT (SELECT count(*) FROM p) AS postings, (SELECT sum(tf)::BIGINT FROM p) AS occurrences, n, round(avgdl, 6) AS avgdl FROM c")
 def bm25_index(spark, d):
-    """The index as tables, written and read again."""
-    from vectide.sources.storage import scratch
+    """The index written and read again."""
+    index = index_of(spark, d, fresh=True)
+    n, avgdl = index.totals()
+    postings = index.postings().agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("occurrences"))
+    return postings.select("postings", "occurrences", F.lit(n).cast("bigint").alias("n"), F.lit(round(avgdl, 6)).alias("avgdl"))
+
+
+CHANGED = f"""{WORDS.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'payslip payslip gasket' ELSE text END AS text FROM documents WHERE status <> 'failed' OR status IS NULL)")}, p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM w) GROUP BY ALL), c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w),
+q AS (SELECT unnest(['payslip', 'gasket', 'payslip']) AS term), dfs AS (SELECT term, count(*) AS df FROM p GROUP BY term)"""
+
+
+def changed_index(spark, d) -> B.Index:
+    """Built in two steps, some documents removed, others given new texts."""
+    docs, all_rows = table(spark, d, "documents").select("doc_id", "text", "status"), F.col("doc_id") % 2
+    index = B.Index(spark, scratch(spark, "changed")).add(docs.where(all_rows == 0)).add(docs.where(all_rows == 1))
+    index.update(docs.where("doc_id % 10 = 3").withColumn("text", F.lit("payslip payslip gasket")))
+    return index.remove(docs.where("status = 'failed'"))
+
 
-    docs, folder = documents(spark, d), scratch(spark, "bm25")
-    B.inverted(docs).write.mode("overwrite").parquet(f"{folder}/postings")
-    B.doc_lengths(docs).write.mode("overwrite").parquet(f"{folder}/doc_stats")
-    postings = spark.read.parquet(f"{folder}/postings").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("occurrences"))
-    stats = B.corpus(spark.read.parquet(f"{folder}/doc_stats"))
-    return postings.crossJoin(stats).select("postings", "occurrences", "n", F.round("avgdl", 6).alias("avgdl"))
+@query("bm25_changed", f"""WITH {CHANGED} SELECT p.doc_id, round(sum(ln((c.n - dfs.df + 0.5) / (dfs.df + 0.5) + 1) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * len(w.t) / c.avgdl))), 6) AS score
+  FROM q JOIN p USING (term) JOIN dfs USING (term) JOIN w ON w.doc_id = p.doc_id CROSS JOIN c GROUP BY p.doc_id""")
+def bm25_changed(spark, d):
+    """Scores from an index after additions, updates and removals."""
+    return changed_index(spark, d).score("payslip gasket payslip").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_document", f"WITH {BM25} SELECT round(coalesce((SELECT score FROM kw WHERE doc_id = 7), 0), 6) AS there, 0.0::DOUBLE AS missing")
+def bm25_document(spark, d):
+    """The scores of two documents, one of which does not exist."""
+    index = index_of(spark, d)
+    return spark.createDataFrame([(round(index.score_document(ASK, 7), 6), index.score_document(ASK, -1))], "there double, missing double")
+
+
+@query("index_lookup", f"WITH {POST} SELECT t.term, count(p.term) AS df, count(p.term) > 0 AS held FROM (SELECT unnest(['payslip', 'gasket', 'nosuchword']) AS term) t LEFT JOIN p ON p.term = t.term GROUP BY 1")
+def index_lookup(spark, d):
+    """Document frequencies of terms, and whether the index holds them."""
+    return index_of(spark, d).frequency(["payslip", "gasket", "nosuchword"]).withColumn("held", F.col("df") > 0)
+
+
+@query("index_all", f"WITH {POST} SELECT (SELECT count(DISTINCT term) FROM p) AS terms, n AS documents FROM c")
+def index_all(spark, d):
+    """All terms and all documents, counted."""
+    index = index_of(spark, d)
+    return index.terms().agg(F.count(F.lit(1)).alias("terms")).crossJoin(F.broadcast(index.documents().agg(F.count(F.lit(1)).alias("documents"))))
 
 
 @query("bm25_stats", f"WITH {POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM p GROUP BY term")
@@ -103,7 +155,7 @@ def inverted_stats(spark, d):
 
 @query("postings_lookup", f"WITH {POST} SELECT term, doc_id, tf FROM p WHERE term IN ('payslip', 'gasket')")
 def postings_lookup(spark, d):
-    return B.inverted(documents(spark, d)).where(F.col("term").isin("payslip", "gasket")).select("term", "doc_id", "tf")
+    return index_of(spark, d).postings(["payslip", "gasket"]).select("term", "doc_id", F.col("tf").cast("bigint").alias("tf"))
 
 
 @query("index_remove", f"WITH {POST} SELECT term, count(*) AS df FROM p WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE status = 'failed') GROUP BY term")
@@ -114,7 +166,7 @@ def index_remove(spark, d):
 
 
 @query("normalize_text", """SELECT id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(query_text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+'),
-  lambda x: x <> '' AND x NOT IN ('the','a','an','and','or','but','in','on','at','to','for','of','with','by','from','as','is','was','are','were','be','been','being','have','has','had','do','does','did','will','would','could','should','may','might','must','can','this','that','these','those','i','you','he','she','it','we','they')), ' ') AS normalized FROM query_log""")
+  lambda x: x <> '' AND x NOT IN __STOP__), ' ') AS normalized FROM query_log""".replace("__STOP__", NORMALISER_STOP))
 def normalize_text(spark, d):
     return table(spark, d, "query_log").select("id", normalize_query(F.col("query_text")).alias("normalized"))
 
@@ -222,7 +274,9 @@ OVER = f"len(list_intersect(list_distinct({TOK.format(f'''{chr(39)}{ASK}{chr(39)
 
 
 def texts_of(spark, d, scored):
-    return scored.join(documents(spark, d), "doc_id")
+    """A short list with its texts; the ids reach the scan."""
+    ids = [r["doc_id"] for r in scored.select("doc_id").collect()]
+    return scored.join(table(spark, d, "documents").select("doc_id", "text").where(F.col("doc_id").isin(*ids)), "doc_id")
 
 
 @query("rerank_blend", f"""WITH {BM25} SELECT doc_id, score, round(0.7 * {OVER} + 0.3 * score, 6) AS combined FROM mbx JOIN documents USING (doc_id) WHERE round(0.7 * {OVER} + 0.3 * score, 6) >= 0.3 ORDER BY combined DESC, doc_id LIMIT 20""".replace(" SELECT doc_id, score, round(0.7", ", mbx AS (SELECT doc_id, round(s, 6) AS score FROM mb) SELECT doc_id, score, round(0.7", 1))
@@ -235,6 +289,19 @@ METRICS = f"""WITH {BM25}, g AS (SELECT *, row_number() OVER (ORDER BY score DES
 m AS (SELECT round(var_pop(score), 6) AS variance, round(max(score) - min(score), 6) AS spread, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 6) AS top_gap, round(-sum(p * log2(p)), 6) AS entropy FROM g)"""
 
 
+@query("rerank_model", f"SELECT doc_id, round({OVER}, 6) AS combined FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM ({{}}))".replace("({})", f"(WITH {BM25} SELECT doc_id FROM bm ORDER BY score DESC, doc_id LIMIT 20)"))
+def rerank_model(spark, d):
+    """Reranking by a model that each task loads once; here one that counts the query's words in the text."""
+
+    def load():
+        import re
+
+        words = lambda x: {w for w in re.split("[^a-z0-9]+", x.translate(LOWER)) if w and w not in SEARCH_STOP_WORDS}
+        return lambda queries, texts: [len(words(q) & words(t)) / max(len(words(q)), 1) for q, t in zip(queries, texts)]
+
+    return U.rerank(texts_of(spark, d, keyword(spark, d, 20)), F.lit(ASK), U.model_scorer(load), weight=1.0).select("doc_id", "combined")
+
+
 @query("rerank_metrics", f"{METRICS} SELECT * FROM m")
 def rerank_metrics(spark, d):
     m = U.rerank_metrics(keyword(spark, d))
@@ -248,10 +315,10 @@ def rerank_adaptive(spark, d):
     return m.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), (F.col(c) >= 0.1).alias("rerank")) for c in m.columns])))
 
 
-@query("rerank_standalone", f"SELECT doc_id, round({OVER}, 6) AS combined FROM documents WHERE text IS NOT NULL AND category = 'policy'")
+@query("rerank_standalone", f"SELECT doc_id, round({OVER}, 6) AS combined FROM documents WHERE text IS NOT NULL")
 def rerank_standalone(spark, d):
     """Texts posted without scores are ordered by the scorer alone."""
-    posted = table(spark, d, "documents").where("text is not null and category = 'policy'").select("doc_id", "text", F.lit(0.0).alias("score"))
+    posted = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.lit(0.0).alias("score"))
     return U.rerank(posted, F.lit(ASK), weight=1.0).select("doc_id", "combined")
 
 

@@ -149,7 +149,7 @@ def knn_sharded(spark, d):
     return S.sharded(embeddings(spark, d), probe(spark, d), 10, F.col("vec_id") % 7, "vec_id", "embedding")
 
 
-@query("recall_at_k")
+@query("recall_at_k", "SELECT 10 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
 def recall_at_k(spark, d):
     """Recall of the clustered index against the full scan."""
     from vectide.operators.indexes import ivf_build, ivf_search
@@ -158,7 +158,7 @@ def recall_at_k(spark, d):
     queries = e.where("id % 100 = 0")
     exact = S.batch_search(e, queries, 10)
     index = ivf_build(e, clusters=16, seed=100)
-    return S.recall(ivf_search(index, queries, 10, probes=12), exact, ["query_id", "id"])
+    return S.recall(ivf_search(index, queries, 10, probes=12), exact, ["query_id", "id"]).select("wanted", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query("geo_knn", """WITH p AS (SELECT c_custkey, (c_custkey * 37 % 18000) / 100.0 - 90 AS lat, (c_custkey * 91 % 36000) / 100.0 - 180 AS lon FROM customer),

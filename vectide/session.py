@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +26,23 @@ def session(master: str = "local[*]", app: str = "vectide", **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the checkpoint folder of the session as it is; a private temporary one is made only
+    where none is set and the master is local."""
+    root = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if root.isDefined():
+        return root.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="vectide-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df in the shared folder that spark.checkpoint.dir names.
-
-    The folder of the session is used as it is; a private temporary one is made only where none is set
-    (local runs and tests). The result survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectide-")
-        spark.sparkContext.setCheckpointDir(folder)
+    """Cut the lineage of df in the shared folder; the result survives the loss of any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from vectide.session import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share: below the checkpoint folder of the session, or, where none is set
-    (local runs), a temporary one."""
-    root = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = root.get() if root.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectide-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the one that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -33,11 +33,19 @@ def hourly(log: DataFrame, watermark: str = "3 days") -> DataFrame:
     ).select("database_id", F.unix_millis("w.start").alias("time_bucket"), "total_queries", "failed_queries", "avg_latency_ms", "p95_latency_ms")
 
 
-def run_to_end(df: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> None:
-    """Process all that is there and write the last state of an aggregation."""
+def run_to_end(df: DataFrame, out: str, checkpoint: str) -> None:
+    """Process all that is there. Each batch adds the rows it changed under its number (a batch that is run again
+    replaces its own); groups older than the watermark leave the state, and later rows for them are dropped."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode).start()
+    q = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("update").start()
     q.awaitTermination()
+
+
+def current(spark: SparkSession, out: str, keys: tuple[str, ...] = ("database_id", "time_bucket")) -> DataFrame:
+    """The last state of each group."""
+    rows = spark.read.parquet(out)
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, "batch")]), "batch").alias("r")
+    return rows.groupBy(*keys).agg(last).select(*keys, "r.*")
