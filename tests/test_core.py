@@ -159,9 +159,9 @@ def test_places(spark):
 
 
 def test_times(spark):
-    texts = ["2025-01-01T12:00:00Z", "2025-01-01T12:00:00", "2025-01-01 12:00:00", "2025-01-01", "01/02/2025", "soon", None]
+    texts = ["2025-01-01T12:00:00Z", "2025-01-01T12:00:00", "2025-01-01 12:00:00", "2025-01-01 12:00:00.123456", "2025-01-01T14:00:00+02:00", "2025-01-01", "01/02/2025", "soon", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.date_format(filters.parse_time(F.col("t")), "MMdd HH")).collect()]
-    assert got == ["0101 12"] * 3 + ["0101 00", "0102 00", None, None]
+    assert got == ["0101 12"] * 5 + ["0101 00", None, None, None]
 
 
 def test_text_matches(spark):
@@ -202,11 +202,12 @@ def brute_bm25(docs, query):
 
 
 @pytest.mark.parametrize("query", ["Product-A configuration", "brown quick brown", "the", "", "unknown"])
-def test_keyword_scores_from_texts_and_from_the_index(spark, query):
+def test_keyword_scores_from_the_index(spark, tmp_path, query):
     docs = [("doc1", "Product-A configuration and setup procedure"), ("doc2", "Product-B installation manual"), ("doc3", "Product-A troubleshooting guide for configuration"), ("doc4", "quick brown fox, brown"), ("doc5", "")]
     df = spark.createDataFrame(docs, "doc_id string, text string")
     want = brute_bm25(docs, query)
-    assert {r.doc_id: r.score for r in bm25.score(df, query).collect()} == pytest.approx(want)
+    stored = bm25.Index(spark, str(tmp_path / "index"), "string").add(df)
+    assert {r.doc_id: r.score for r in stored.score(query).collect()} == pytest.approx(want)
     assert {r.doc_id: r.score for r in bm25.score_index(bm25.inverted(df), bm25.doc_lengths(df), query).collect()} == pytest.approx(want)
 
 
@@ -393,7 +394,7 @@ def test_streams_agree_with_batches(spark, tmp_path):
     df.repartition(4).write.parquet(source)
     logs.run_to_end(logs.hourly(logs.read_stream(spark, source, 1)), str(tmp_path / "hourly"), str(tmp_path / "c1"))
     batch = df.groupBy("database_id", (F.col("timestamp") - F.col("timestamp") % 3_600_000).alias("b")).count()
-    assert values(spark.read.parquet(str(tmp_path / "hourly")).select("database_id", "time_bucket", "total_queries")) == values(batch)
+    assert values(logs.current(spark, str(tmp_path / "hourly")).select("database_id", "time_bucket", "total_queries")) == values(batch)
     logs.ingest(logs.deduplicated(logs.read_stream(spark, source, 1)), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 180
 
@@ -407,3 +408,102 @@ def test_export_takes_every_latest_record(spark, tmp_path):
     data = [(f"r{i}", v, 1, datetime(2024, 1, 1), "tablet", None) for i, v in enumerate(values)]
     spark.createDataFrame(data, "id string, values array<float>, version int, updated_at timestamp, category string, custom string").write.parquet(f"{tmp_path}/arrow_utils.parquet")
     assert tuple(export_csv(spark, str(tmp_path)).first()) == (6, 6)
+
+
+def test_a_store_goes_on_counting_after_old_states_are_dropped(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    for i in range(5):
+        s.write(spark.createDataFrame([(i,)], "id int"))
+    assert len(s.keep(2)) == 3
+    s.write(spark.createDataFrame([(9,)], "id int"))
+    assert [r.id for r in s.read().collect()] == [9] and [n[:14] for n in s.snapshots()] == ["state-00000003", "state-00000004", "state-00000005"]
+    s.keep(1)
+    s.write(spark.createDataFrame([(10,)], "id int"))
+    assert [r.id for r in s.read().collect()] == [10]
+    assert s.verify(s.snapshots()[-1], ["id"], spark.createDataFrame([(10,)], "id int"))
+
+
+def test_a_stored_index_after_changes_equals_a_new_one(spark, tmp_path):
+    texts = {1: "red apple pie", 2: "green apple", 3: None, 4: "", 5: "pie pie pie crust", 6: "nothing here"}
+    docs = lambda rows: spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    index = bm25.Index(spark, str(tmp_path / "a")).add(docs({k: texts[k] for k in (1, 2, 3)})).add(docs({k: texts[k] for k in (4, 5, 6)}))
+    index.update(docs({2: "apple apple pie", 7: "apple crust"})).remove(docs({6: None}))
+    fresh = bm25.Index(spark, str(tmp_path / "b")).add(docs({**{k: v for k, v in texts.items() if k != 6}, 2: "apple apple pie", 7: "apple crust"}))
+    for ask in ("apple pie", "crust crust", "here", "", "the"):
+        a, b = ({r.doc_id: round(r.score, 9) for r in i.score(ask).collect()} for i in (index, fresh))
+        assert a == b
+    assert index.totals() == fresh.totals() and index.score_document("apple", 99) == 0.0 and index.score_document("apple", 7) > 0
+    assert {(r.term, r.df) for r in index.frequency(["apple", "here"]).collect()} == {("apple", 3), ("here", 0)}
+    assert bm25.Index(spark, str(tmp_path / "c")).score("apple").collect() == []
+
+
+def test_late_rows_and_changed_hours_of_the_stream(spark, tmp_path):
+    from vectide.streaming import logs
+
+    hour, day = 3_600_000, 86_400_000
+    schema = "database_id string, timestamp bigint, total_time_ms bigint, has_error boolean"
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    batches = [[("a", 10 * day, 5, False), ("a", 10 * day + 1, 7, True)], [("a", 10 * day + 2, 9, False), ("b", 20 * day, 1, None)], [("c", 20 * day + hour, 1, False)], [("a", 10 * day + 3, 11, False), ("b", 20 * day + 1, 3, False)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        logs.run_to_end(logs.hourly(stream), out, state)
+    got = {(r.database_id, r.time_bucket): (r.total_queries, r.failed_queries, r.p95_latency_ms) for r in logs.current(spark, out).collect()}
+    # the row for hour 10 x 24 of the last batch is later than the watermark of three days
+    assert got == {("a", 10 * day): (3, 1, 9), ("b", 20 * day): (2, 0, 3), ("c", 20 * day + hour): (1, 0, 1)}
+
+
+def test_metrics_are_exposed_with_their_values(spark):
+    df = spark.createDataFrame([("m", "a", 1.5), ("m", "b", None), ("k", "a", 2.0)], "name string, db string, v double")
+    assert sorted(r.line for r in analytics.exposition(df, "name", {"database": "db"}, "v").collect()) == ["# TYPE k gauge", "# TYPE m gauge", 'k{database="a"} 2.000', 'm{database="a"} 1.500']
+
+
+def test_many_queries_meet_the_rows_in_a_grid(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8))
+    df = spark.createDataFrame([(f"r{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("null", None), ("short", [1.0])], "id string, values array<double>")
+    monkeypatch.setattr(search, "BLOCK", 50)
+    monkeypatch.setattr(search, "ROWS", 60)
+    got = {(r.query_id, r.rank): r.id for r in search.batch_search(df, df.where("id like 'r%'"), 3).collect()}
+    s = x @ x.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None]
+    np.fill_diagonal(s, -2)
+    for i, row in enumerate(np.argsort(-np.round(s, 6), axis=1, kind="stable")[:, :3]):
+        assert [got[f"r{i:03d}", r] for r in (1, 2, 3)] == [f"r{j:03d}" for j in row]
+    assert search.batch_search(df.where("false"), df, 3).collect() == [] and search.batch_search(df, df.where("false"), 3).collect() == []
+
+
+def test_nested_values_and_paths(spark):
+    df = spark.createDataFrame([('{"a": {"k": "x", "n": 3, "e": ""}, "l": ["p", 1]}',), ("broken",), (None,)], "j string")
+    j = F.col("j")
+    assert [r[0] for r in df.select(filters.path_exists(j, "$.a.k")).collect()] == [True, False, False]
+    assert [r[0] for r in df.select(filters.path_exists(j, "$.a.e")).collect()] == [False, False, False]
+    assert [r[0] for r in df.select(filters.subpath_matches(j, "$.a", "k", '"x"') & filters.subpath_matches(j, "$.a", "n", "3")).collect()] == [True, False, False]
+    assert [r[0] for r in df.select(filters.nested_values(j, "$.l")).collect()] == [["p", "1"], [], []]
+    assert [r[0] for r in df.select(filters.nested_values(j, "$.a.n")).collect()] == [["3"], [], []]
+
+
+def test_texts_of_word_processor_files(spark):
+    from vectide.sources import importers
+
+    df = spark.createDataFrame([("one\ntwo & <three>",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(importers.docx_text(importers.as_docx(F.col("t")))).collect()] == ["one\ntwo & <three>", "", None]
+    assert df.select(importers.docx_text(F.lit(b"no file"))).first()[0] is None
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from vectide import session as own
+
+    class Context:
+        master, _jsc = "spark://host:7077", spark.sparkContext._jsc
+
+    class None_:
+        def isDefined(self):
+            return False
+
+    class Fake:
+        sparkContext, conf = Context(), spark.conf
+
+    monkeypatch.setattr(Context, "_jsc", type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: None_()})()})())
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError):
+            own.shared_folder(Fake())

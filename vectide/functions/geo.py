@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,18 @@ def within_radius(lat: Column, lon: Column, centre: tuple[float, float], metres:
 def within_box(lat: Column, lon: Column, low: tuple[float, float], high: tuple[float, float]) -> Column:
     """Edges included; false where the place is unknown."""
     return F.coalesce(lat.between(low[0], high[0]) & lon.between(low[1], high[1]), F.lit(False))
+
+
+def intersects(text: Column, low: tuple[float, float], high: tuple[float, float]) -> Column:
+    """Whether a location given as text lies in an area; false for what is no location."""
+    return within_box(*parse_point(text), low, high)
+
+
+def all_of(text: Column, conditions: Sequence[tuple]) -> Column:
+    """Whether a location given as text meets every condition: ("radius", centre, metres), ("box" or "intersects", low,
+    high). No conditions: true; what is no location meets none."""
+    lat, lon = parse_point(text)
+    out = F.lit(True)
+    for kind, a, b in conditions:
+        out = out & (within_radius(lat, lon, a, b) if kind == "radius" else within_box(lat, lon, a, b))
+    return out

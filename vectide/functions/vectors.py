@@ -32,6 +32,11 @@ def _pairs(a: Column, b: Column, f) -> Column:
     return F.zip_with(doubles(a), doubles(b), lambda x, y: f(F.coalesce(x, zero), F.coalesce(y, zero)))
 
 
+def folded(a: Column, b: Column, f) -> Column:
+    """The sum of f(x, y) over the elements of two vectors."""
+    return _sum(_pairs(a, b, f))
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(_pairs(a, b, lambda x, y: x * y))
 

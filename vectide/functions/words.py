@@ -22,9 +22,9 @@ def tokens(text: Column, stop_words: tuple[str, ...] = SEARCH_STOP_WORDS) -> Col
     return F.filter(words, lambda w: (w != "") & ~w.isin(*stop_words))
 
 
-def preprocess(text: Column, lower: bool = True, punctuation: bool = True, max_length: int | None = None, truncate: str = "end") -> Column:
+def preprocess(text: Column, lower: bool = True, punctuation: bool = True, max_length: int | None = None, truncate: str = "end", pad: str | None = None) -> Column:
     """Lower case, no ASCII punctuation, single blanks, no blanks at the ends, and at most max_length characters, cut
-    at the start, at the end or in the middle."""
+    at the start, at the end or in the middle; with `pad`, shorter ones are filled up to max_length at the end."""
     out = F.lower(text) if lower else text
     if punctuation:
         out = F.regexp_replace(out, r"[!-/:-@\[-`{-~]", "")
@@ -38,4 +38,5 @@ def preprocess(text: Column, lower: bool = True, punctuation: bool = True, max_l
         "start": F.right(out, F.lit(max_length)),
         "middle": F.concat(F.substring(out, 1, head), F.right(out, F.lit(max_length // 2))),
     }[truncate]
-    return F.when(size <= max_length, out).otherwise(short)
+    out = F.when(size <= max_length, out).otherwise(short)
+    return F.rpad(out, max_length, pad) if pad else out

@@ -98,6 +98,22 @@ def histogram(values: Column, bounds: list[float]) -> list[Column]:
     return [F.count_if(values <= b).alias(f"le_{b:g}") for b in bounds] + [F.count(values).alias("le_inf"), F.sum(values).alias("total")]
 
 
+def recent(log: DataFrame, n: int) -> DataFrame:
+    """Averages over the last n rows of each database; a group limit in each task comes before the exchange."""
+    last = Window.partitionBy("database_id").orderBy(F.desc("timestamp"), F.desc("id"))
+    rows = log.where("timestamp is not null").select("database_id", "timestamp", "id", "total_time_ms", "num_results").withColumn("r", F.row_number().over(last)).where(F.col("r") <= n)
+    return rows.groupBy("database_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total_time_ms"), 9).alias("avg_ms"), F.round(F.avg("num_results"), 9).alias("avg_results"))
+
+
+def exposition(metrics: DataFrame, name: str, labels: dict[str, str], value: str, kind: str = "gauge") -> DataFrame:
+    """(name, line): a type line for each name and a line with labels and value (3 digits) for each row; sorted by name, with
+    the type first, they are a text exposition. Rows without a value are left out."""
+    rows = metrics.where(F.col(value).isNotNull())
+    own = F.concat_ws(",", *[F.concat(F.lit(f'{label}="'), F.col(c).cast("string"), F.lit('"')) for label, c in labels.items()])
+    lines = rows.select(F.col(name).alias("name"), F.concat(F.col(name), F.lit("{"), own, F.lit("} "), F.col(value).cast("decimal(18,3)").cast("string")).alias("line"))
+    return rows.select(F.col(name).alias("name")).distinct().select("name", F.concat(F.lit("# TYPE "), F.col("name"), F.lit(f" {kind}")).alias("line")).unionByName(lines)
+
+
 # Forecasts on an ordered series; a series is the points of one metric and database, some thousand at most
 
 
@@ -133,3 +149,26 @@ def scaling_advice(value: Column, target: float) -> Column:
 def degradation_level(predicted: Column, current: Column) -> Column:
     ratio = predicted / F.greatest(F.lit(1.0), current)
     return F.when(ratio > 2, "CRITICAL").when(ratio > 1.5, "HIGH").when(ratio > 1.2, "MEDIUM").otherwise("LOW")
+
+
+def capacity(current: Column, growth: Column) -> list[Column]:
+    """needed: after a quarter of the growth (percent a year), where there is any; days: how long that difference lasts."""
+    more = current * growth / 100 * 0.25
+    daily = growth / 100 * current / 365
+    needed = F.round(F.when(growth > 0, current + more).otherwise(current), 4)
+    return [needed.alias("needed"), F.when((growth > 0) & (current > 0), F.floor(F.round(more / daily, 6)).cast("int")).alias("days")]
+
+
+#: Forecasts by name: functions of (points, group, x, y, ahead) to (group, forecast).
+FORECASTS: dict = {
+    "linear": lambda points, group, x, y, ahead: linear_fit(points, group, x, y, ahead).select(group, "forecast"),
+    "exponential": lambda points, group, x, y, ahead: smoothed(points, group, x, y).join(third_trend(points, group, x, y), group).select(group, F.round(F.col("level") + F.col("trend"), 6).alias("forecast")),
+}
+
+
+def register_forecast(name: str, strategy) -> None:
+    FORECASTS[name] = strategy
+
+
+def forecast(points: DataFrame, strategy: str, group: str, x: str, y: str, ahead: float) -> DataFrame:
+    return FORECASTS[strategy](points, group, x, y, ahead)

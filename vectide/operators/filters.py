@@ -240,11 +240,19 @@ def parse_text(text: str) -> Condition | Group:
 # Time
 
 
-TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy")
+# The formats of times in text, tried in this order; fractions may have up to nine digits.
+TIME_FORMATS = (
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss.[SSSSSSSSS][SSSSSS][SSS]",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]'Z'",
+    "yyyy-MM-dd'T'HH:mm:ss[XXX][XX]",
+    "yyyy-MM-dd",
+)
 
 
 def parse_time(text: Column) -> Column:
-    """The first format that fits, UTC; null where none does."""
+    """The first format that fits, UTC where the text names no offset; null where none does."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
 
 
@@ -264,6 +272,23 @@ def json_size(value: Column) -> Column:
     return F.coalesce(F.json_array_length(value), F.array_size(F.json_object_keys(value)))
 
 
+def path_exists(value: Column, path: str) -> Column:
+    """Whether a JSON text is whole and has something other than the empty string at a path."""
+    return F.coalesce(F.try_parse_json(value).isNotNull() & (F.get_json_object(value, path) != ""), F.lit(False))
+
+
+def subpath_matches(value: Column, path: str, key: str, dumped: str) -> Column:
+    """Whether the object at a path has a key whose value, written as JSON, is the given text."""
+    inner = F.try_variant_get(F.try_parse_json(F.get_json_object(value, path)), f"$.{key}", "variant")
+    return F.coalesce(F.to_json(inner) == dumped, F.lit(False))
+
+
+def nested_values(value: Column, path: str) -> Column:
+    """The elements of the JSON array at a path as texts; a single value is an array of one, nothing an empty one."""
+    inner = F.get_json_object(value, path)
+    return F.when(inner.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(F.when(inner.startswith("["), inner), "array<string>"), F.array(inner)))
+
+
 # Full text
 
 

@@ -11,7 +11,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -292,3 +292,35 @@ class Graph:
         for l in range(len(self.links[at]) - 1, 0, -1):
             at = self.beam(q, at, 1, l)[0][1]
         return [(d**0.5, j) for d, j in self.beam(q, at, ef, 0)]
+
+
+# Catalog
+
+
+class Catalog:
+    """The indexes of a collection by name. An index is ready when it holds every id of the collection."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.entries: dict[str, tuple[str, DataFrame]] = {}
+
+    def add(self, name: str, kind: str, rows: DataFrame) -> Catalog:
+        if name in self.entries:
+            raise ValueError(f"index {name} exists")
+        self.entries[name] = (kind, rows.select("id"))
+        return self
+
+    def drop(self, name: str) -> Catalog:
+        del self.entries[name]
+        return self
+
+    def listing(self, collection: DataFrame) -> DataFrame:
+        """(name, kind, n, ready); n: distinct ids."""
+        all_ids = collection.where("id is not null").select("id").distinct()
+        out = None
+        for name, (kind, rows) in self.entries.items():
+            own = rows.distinct().withColumn("here", F.lit(1))
+            both = all_ids.join(own, "id", "left").agg(F.count("here").alias("n"), (F.count("here") == F.count(F.lit(1))).alias("ready"))
+            row = both.select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), "n", "ready")
+            out = row if out is None else out.unionByName(row)
+        return self.spark.createDataFrame([], "name string, kind string, n bigint, ready boolean") if out is None else out

@@ -103,15 +103,15 @@ def pair_schema(id_type: T.DataType, score: str) -> T.StructType:
     return T.StructType([T.StructField("query_id", id_type), T.StructField("id", id_type), T.StructField(score, T.DoubleType())])
 
 
-def similarities(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """(queries, rows), rounded to 6 digits."""
+def similarities(q: np.ndarray, x: np.ndarray, metric) -> np.ndarray:
+    """(queries, rows), rounded to 6 digits. metric: a name, or a function of two blocks."""
     if metric == "euclidean":
         d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
         return np.round(1 / (1 + np.sqrt(d)), 6)
     if metric == "cosine":
         q, x = _unit(q), _unit(x)
     elif metric != "dot":
-        return np.round(V.BLOCK_METRICS[metric](q, x), 6)
+        return np.round(metric(q, x), 6)
     return np.round(q @ x.T, 6)
 
 
@@ -213,6 +213,8 @@ def grid(rows: DataFrame, asked: DataFrame, keys: Sequence[str], k: int | None,
         if not own.num_rows or not block.num_rows:
             return empty
         at, q = matrix(block["q"])
+        if not len(at):
+            return empty
         asked_ids = names_of(block["query_id"])[at]
         usable, score = make_score(q, own[column])
         j, i, s = score_blocks(asked_ids, q, names_of(own["id"])[usable], score, k, threshold)
@@ -226,10 +228,11 @@ def grid(rows: DataFrame, asked: DataFrame, keys: Sequence[str], k: int | None,
 
 def scorer(metric: str):
     """make_score of grid for vectors."""
+    own = V.BLOCK_METRICS.get(metric)
 
     def make(q: np.ndarray, column: pa.ChunkedArray):
         usable, x = matrix(column, q.shape[1])
-        return usable, lambda a, b: similarities(q, x[a:b], metric)
+        return usable, lambda a, b: similarities(q, x[a:b], own or metric)
 
     return make
 
@@ -240,14 +243,16 @@ def _held(corpus: DataFrame, queries: DataFrame, k: int | None, metric: str, thr
     id_type = corpus.schema["id"].dataType
     schema, arrow = pair_schema(id_type, "similarity"), T_ARROW(id_type)
     at, q = matrix(found["values"])
+    if not len(at):
+        return corpus.sparkSession.createDataFrame([], schema)
     names = names_of(found["id"])[at]
-    sent = corpus.sparkSession.sparkContext.broadcast((names, q))
+    sent, own = corpus.sparkSession.sparkContext.broadcast((names, q)), V.BLOCK_METRICS.get(metric, metric)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = sent.value
         for table in _tables(batches):
             usable, x = matrix(table["values"], q.shape[1])
-            j, i, s = score_blocks(names, q, names_of(table["id"])[usable], lambda a, b: similarities(q, x[a:b], metric), k, threshold)
+            j, i, s = score_blocks(names, q, names_of(table["id"])[usable], lambda a, b: similarities(q, x[a:b], own), k, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(names[j], arrow), pa.array(i, arrow), pa.array(s, pa.float64())], names=schema.names)
 
     return corpus.select("id", "values").mapInArrow(run, schema)

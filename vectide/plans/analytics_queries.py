@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vectide.functions.text import NORMALISER_STOP_WORDS
 from vectide.operators import analytics as A
 from vectide.plans.registry import query
 from vectide.sources.tables import table
 
 NORM = """array_to_string(list_filter(string_split_regex(regexp_replace(lower(query_text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+'),
-  lambda x: x <> '' AND x NOT IN ('the','a','an','and','or','but','in','on','at','to','for','of','with','by','from','as','is','was','are','were','be','been','being','have','has','had','do','does','did','will','would','could','should','may','might','must','can','this','that','these','those','i','you','he','she','it','we','they')), ' ')"""
+  lambda x: x <> '' AND x NOT IN __STOP__), ' ')""".replace("__STOP__", "(" + ", ".join(f"'{w}'" for w in NORMALISER_STOP_WORDS) + ")")
 L = f"""l AS (SELECT *, {NORM} AS pattern, "timestamp" AS ts, coalesce(has_error, false) AS bad FROM query_log)"""
 
 
@@ -80,6 +81,27 @@ def insights_summary(spark, d):
     return A.insights(log(spark, d), T0, T1)["summary"]
 
 
+def insight(part: str, sql: str) -> None:
+    @query(f"insights_{part}", sql)
+    def run(spark, d):
+        return A.insights(log(spark, d), T0, T1)[part]
+
+
+insight("patterns", f"""WITH {L} SELECT pattern, count(*) AS n, round(avg(total_time_ms), 9) AS avg_latency_ms, round(avg(num_results), 9) AS avg_results, round(avg(avg_similarity_score), 9) AS avg_score, min(ts) AS first_seen, max(ts) AS last_seen
+FROM l WHERE NOT bad AND pattern <> '' GROUP BY pattern HAVING count(*) >= 2 ORDER BY n DESC, pattern LIMIT 10""")
+insight("slow", 'SELECT id, query_text, total_time_ms, num_results, "timestamp" FROM query_log WHERE total_time_ms >= 500 ORDER BY total_time_ms DESC, id LIMIT 10')
+insight("zero_results", f"WITH {L} SELECT pattern, count(*) AS n, max(ts) AS last_seen FROM l WHERE NOT bad AND num_results = 0 AND pattern <> '' GROUP BY 1 ORDER BY n DESC, pattern LIMIT 10")
+insight("trending", f"""WITH {L}, g AS (SELECT pattern, count(*) FILTER (ts >= {T0}) AS current, count(*) FILTER (ts < {T0}) AS previous FROM l WHERE NOT bad AND pattern <> '' AND ts >= {2 * T0 - T1} AND ts < {T1} GROUP BY 1)
+SELECT * FROM (SELECT *, CASE WHEN previous = 0 THEN 100.0 ELSE round((current - previous) * 100.0 / previous, 4) END AS growth FROM g WHERE current > 0) WHERE growth >= 50 ORDER BY growth DESC, current DESC, pattern LIMIT 10""")
+
+
+@query("recent_statistics", """SELECT database_id, count(*) AS n, round(avg(total_time_ms), 9) AS avg_ms, round(avg(num_results), 9) AS avg_results FROM
+  (SELECT * FROM query_log WHERE "timestamp" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY database_id ORDER BY "timestamp" DESC, id DESC) <= 100) GROUP BY 1""")
+def recent_statistics(spark, d):
+    """Averages over the last hundred queries of each database."""
+    return A.recent(log(spark, d), 100)
+
+
 @query("score_stats", "SELECT query_type, round(avg(avg_similarity_score), 9) AS avg_score, min(min_similarity_score) AS min_score, max(max_similarity_score) AS max_score FROM query_log GROUP BY 1")
 def score_stats(spark, d):
     return log(spark, d).groupBy("query_type").agg(F.round(F.avg("avg_similarity_score"), 9).alias("avg_score"), F.min("min_similarity_score").alias("min_score"), F.max("max_similarity_score").alias("max_score"))
@@ -118,11 +140,12 @@ def metrics_query(spark, d):
     return kept.groupBy("database_id", "metric_name", "bucket_type").agg(F.count(F.lit(1)).alias("n"), F.max("metric_value").alias("most"))
 
 
-@query("metrics_export", """SELECT metric_name || '{database="' || database_id || '",bucket="' || bucket_type || '"} ' || CAST(time_bucket AS VARCHAR) AS line FROM (SELECT DISTINCT * FROM performance_metrics) WHERE metric_value IS NOT NULL""")
+@query("metrics_export", """WITH m AS (SELECT DISTINCT * FROM performance_metrics WHERE metric_value IS NOT NULL)
+SELECT DISTINCT metric_name AS name, '# TYPE ' || metric_name || ' gauge' AS line FROM m
+UNION ALL SELECT metric_name, metric_name || '{bucket="' || bucket_type || '",database="' || database_id || '",start="' || time_bucket || '"} ' || CAST(CAST(metric_value AS DECIMAL(18, 3)) AS VARCHAR) FROM m""")
 def metrics_export(spark, d):
     """Lines of a text exposition."""
-    m = table(spark, d, "performance_metrics").distinct().where("metric_value is not null")
-    return m.select(F.concat(F.col("metric_name"), F.lit('{database="'), F.col("database_id"), F.lit('",bucket="'), F.col("bucket_type"), F.lit('"} '), F.col("time_bucket").cast("string")).alias("line"))
+    return A.exposition(table(spark, d, "performance_metrics").distinct(), "metric_name", {"bucket": "bucket_type", "database": "database_id", "start": "time_bucket"}, "metric_value")
 
 
 @query("analytics_export", f"""WITH {L}, p AS (SELECT pattern, count(*) AS n FROM l WHERE NOT bad AND pattern <> '' GROUP BY 1 HAVING count(*) >= 2)
@@ -203,10 +226,12 @@ def scaling_advice(spark, d):
     return fitted(spark, d).select("database_id", A.scaling_advice(F.col("newest"), 12.0).alias("change"))
 
 
-@query("capacity", f"{FIT}, g AS (SELECT database_id, newest AS c, (newest - oldest) / oldest * 100 AS growth FROM f WHERE oldest > 0) SELECT database_id, round(CASE WHEN growth > 0 THEN c + c * growth / 100 * 0.25 ELSE c END, 4) AS needed FROM g")
+@query("capacity", f"""{FIT}, g AS (SELECT database_id, newest AS c, (newest - oldest) / oldest * 100 AS growth FROM f WHERE oldest > 0) SELECT database_id, round(CASE WHEN growth > 0 THEN c + c * growth / 100 * 0.25 ELSE c END, 4) AS needed,
+  CASE WHEN growth > 0 AND c > 0 THEN trunc(round((c * growth / 100 * 0.25) / (growth / 100 * c / 365), 6))::INT END AS days FROM g""")
 def capacity(spark, d):
+    """What a quarter more of the present growth needs, and the days that the difference lasts."""
     g = fitted(spark, d).where("oldest > 0").select("database_id", F.col("newest").alias("c"), ((F.col("newest") - F.col("oldest")) / F.col("oldest") * 100).alias("growth"))
-    return g.select("database_id", F.round(F.when(F.col("growth") > 0, F.col("c") + F.col("c") * F.col("growth") / 100 * 0.25).otherwise(F.col("c")), 4).alias("needed"))
+    return g.select("database_id", *A.capacity(F.col("c"), F.col("growth")))
 
 
 @query("degradation", f"""{FIT} SELECT database_id, CASE WHEN p / greatest(1, newest) > 2 THEN 'CRITICAL' WHEN p / greatest(1, newest) > 1.5 THEN 'HIGH' WHEN p / greatest(1, newest) > 1.2 THEN 'MEDIUM' ELSE 'LOW' END AS level,
@@ -234,3 +259,10 @@ def alerts(spark, d):
     m = table(spark, d, "performance_metrics")
     # three rules
     return m.join(F.broadcast(rules), "metric_name").where("metric_value > bound").select("database_id", "metric_name", "bucket_type", "time_bucket", "severity").distinct()
+
+
+@query("own_forecast", f"WITH {SERIES} SELECT database_id, max(y) AS forecast FROM s GROUP BY 1")
+def own_forecast(spark, d):
+    """A forecast of one's own: the largest value so far."""
+    A.register_forecast("largest", lambda points, group, x, y, ahead: points.groupBy(group).agg(F.max(y).alias("forecast")))
+    return A.forecast(series(spark, d), "largest", "database_id", "x", "y", 24.0)

@@ -56,6 +56,14 @@ def geo_radius(spark, d):
     return places(spark, d).where(geo.within_radius(lat, lon, (48.8566, 2.3522), 2_500_000)).select("c_custkey")
 
 
+@query("geo_list", f"""WITH h AS (SELECT c_custkey, lat, lon, pow(sin(radians(lat - 48.8566) / 2), 2) + cos(radians(48.8566)) * cos(radians(lat)) * pow(sin(radians(lon - 2.3522) / 2), 2) AS a FROM {PLACES})
+SELECT c_custkey FROM h WHERE 2 * 6371000 * atan2(sqrt(a), sqrt(1 - a)) <= 6000000 AND lat BETWEEN 0 AND 60 AND lon BETWEEN -40 AND 80 AND c_custkey % 10 <> 0""")
+def geo_list(spark, d):
+    """All of a list of conditions on a location given as text, a tenth of which is no location."""
+    text = F.when(F.col("c_custkey") % 10 == 0, "nowhere").otherwise(F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string")))
+    return places(spark, d).where(geo.all_of(text, [("radius", (48.8566, 2.3522), 6_000_000), ("box", (0, -40), (60, 80))])).select("c_custkey")
+
+
 @query("geo_bbox", f"SELECT c_custkey FROM {PLACES} WHERE lat BETWEEN -10 AND 45.5 AND lon BETWEEN -20 AND 100.25")
 def geo_bbox(spark, d):
     return places(spark, d).where(geo.within_box(F.col("lat"), F.col("lon"), (-10, -20), (45.5, 100.25))).select("c_custkey")
@@ -82,20 +90,22 @@ def tmp_at(spark, d):
     return table(spark, d, "query_log").where(X.at_second(F.col("logged_at").cast("timestamp"), F.timestamp_millis("timestamp"))).select("id")
 
 
-@query("tmp_parse", """WITH t AS (SELECT id, CASE id % 4 WHEN 0 THEN strftime(logged_at, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(logged_at, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(logged_at, '%m/%d/%Y') ELSE 'soon' END AS s FROM query_log)
-SELECT id, epoch_ms(coalesce(try_strptime(s, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '%m/%d/%Y'))) AS ms FROM t""")
+@query("tmp_parse", """SELECT id, CASE id % 7 WHEN 0 THEN epoch_ms(date_trunc('second', logged_at)) WHEN 1 THEN epoch_ms(date_trunc('second', logged_at)) WHEN 2 THEN epoch_ms(date_trunc('day', logged_at))
+  WHEN 4 THEN epoch_ms(logged_at) WHEN 5 THEN epoch_ms(date_trunc('second', logged_at)) - 7200000 END AS ms FROM query_log""")
 def tmp_parse(spark, d):
-    at, kind = F.col("logged_at").cast("timestamp"), F.col("id") % 4
-    text = F.when(kind == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kind == 1, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).when(kind == 2, F.date_format(at, "MM/dd/yyyy")).otherwise("soon")
+    """Texts in all formats: ISO, with a blank, a day, month first (no format), with a fraction, with an offset, no time."""
+    at, kind = F.col("logged_at").cast("timestamp"), F.col("id") % 7
+    formats = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss'+02:00'"]
+    text = F.coalesce(*[F.when(kind == i, F.date_format(at, f)) for i, f in enumerate(formats)], F.lit("soon"))
     return table(spark, d, "query_log").select("id", F.unix_millis(X.parse_time(text)).alias("ms"))
 
 
 GOOD = "CASE WHEN json_valid(metadata) THEN metadata::JSON END"
 
 
-@query("json_exists", f"SELECT id FROM products WHERE json_extract_string({GOOD}, '$.rating') IS NOT NULL")
+@query("json_exists", f"SELECT id FROM products WHERE json_extract_string({GOOD}, '$.rating') <> ''")
 def json_exists(spark, d):
-    return table(spark, d, "products").where(F.get_json_object("metadata", "$.rating").isNotNull() & F.try_parse_json("metadata").isNotNull()).select("id")
+    return table(spark, d, "products").where(X.path_exists(F.col("metadata"), "$.rating")).select("id")
 
 
 @query("json_match", f"SELECT id FROM products WHERE json_extract_string({GOOD}, '$.category') = 'laptop'")
@@ -112,10 +122,18 @@ def json_count(spark, d):
     return rows.where("n_tags > 1 or n_keys < 4")
 
 
-@query("json_subpath", f"SELECT id FROM products WHERE json_extract_string({GOOD}, '$.tags[0]') = 'new'")
+@query("json_subpath", f"SELECT id FROM products WHERE json_extract({GOOD}, '$.category')::VARCHAR = '\"laptop\"' OR json_extract({GOOD}, '$.rating')::VARCHAR = '2.8'")
 def json_subpath(spark, d):
-    inner = F.get_json_object("metadata", "$.tags")
-    return table(spark, d, "products").where((F.get_json_object(inner, "$[0]") == "new") & F.try_parse_json("metadata").isNotNull()).select("id")
+    """Values of keys inside an object, compared as they are written in JSON."""
+    m = F.col("metadata")
+    return table(spark, d, "products").where(X.subpath_matches(m, "$", "category", '"laptop"') | X.subpath_matches(m, "$", "rating", "2.8")).select("id")
+
+
+@query("json_values", f"SELECT id, unnest(json_extract_string({GOOD}, '$.tags[*]')) AS value FROM products")
+def json_values(spark, d):
+    """Nested values as rows."""
+    whole = F.when(F.try_parse_json("metadata").isNotNull(), F.col("metadata"))
+    return table(spark, d, "products").select("id", F.explode(X.nested_values(whole, "$.tags")).alias("value"))
 
 
 def on_documents(name: str, f, where: str) -> None:

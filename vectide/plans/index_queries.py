@@ -46,6 +46,28 @@ def idx_ivf(spark, d):
     return I.ivf_search(I.ivf_build(e, clusters=16), q, 10, probes=16)
 
 
+@query("idx_ivf_changed", EXACT.replace("embeddings b ON", "(SELECT * FROM embeddings WHERE vec_id % 7 <> 3) b ON"))
+def idx_ivf_changed(spark, d):
+    """Built on a part, the rest added, some rows updated, some removed; all clusters probed, which must be exact."""
+    e, q = pairs(spark, d)
+    index = I.ivf_build(e.where("id % 3 <> 0"), clusters=16).add(e.where("id % 3 = 0"))
+    return I.ivf_search(index.update(e.where("id % 5 = 1")).remove(e.where("id % 7 = 3")), q, 10, probes=16)
+
+
+@query("idx_contains", "SELECT i AS id, i IN (SELECT vec_id FROM embeddings) AS found FROM (SELECT unnest([1, 2, -5, 99999999]::BIGINT[]) AS i)")
+def idx_contains(spark, d):
+    e, _ = pairs(spark, d)
+    return I.ivf_build(e, clusters=4).contains(spark.createDataFrame([(1,), (2,), (-5,), (99_999_999,)], "id bigint"))
+
+
+@query("idx_catalog", "SELECT 'flat' AS name, 'flat' AS kind, count(*) AS n, true AS ready FROM embeddings UNION ALL SELECT 'clusters', 'ivf', count(*), true FROM embeddings UNION ALL SELECT 'codes', 'pq', 0, false")
+def idx_catalog(spark, d):
+    """The indexes of a collection, their sizes and whether they cover it."""
+    e, _ = pairs(spark, d)
+    catalog = I.Catalog(spark).add("flat", "flat", e).add("clusters", "ivf", I.ivf_build(e, clusters=8).rows).add("codes", "pq", e.where("false")).add("old", "flat", e)
+    return catalog.drop("old").listing(e)
+
+
 @query("idx_lsh", ENOUGH)
 def idx_lsh(spark, d):
     e, q = pairs(spark, d)
@@ -128,10 +150,22 @@ def compression_stats(spark, d):
 # Sharding
 
 
-@query("shard_hash")
+BYTES = "list_transform(range(1, length(id) + 1), lambda i: ord(substr(id, i, 1))::HUGEINT)"
+
+
+@query("shard_hash", f"""SELECT DISTINCT id, (list_reduce(list_concat([5381::HUGEINT], {BYTES}), lambda h, b: (h * 33 + b) % 18446744073709551616) % 8)::INT AS djb2,
+  (list_reduce(list_concat([14695981039346656037::HUGEINT], {BYTES}), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) % 8)::INT AS fnv1a FROM arrow_utils WHERE id IS NOT NULL""")
 def shard_hash(spark, d):
-    rows = table(spark, d, "arrow_utils").select("id", H.djb2("id", 8).alias("shard"), H.hash_shard("id", 8).alias("engine_shard"))
-    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("engine_shard").alias("engine_shards"))
+    """Placement by two hashes that other systems use."""
+    return table(spark, d, "arrow_utils").where("id is not null").select("id", H.djb2("id", 8).alias("djb2"), H.fnv1a("id", 8).alias("fnv1a")).distinct()
+
+
+@query("shard_own", "SELECT true AS spread, count(DISTINCT id) AS n FROM arrow_utils WHERE id IS NOT NULL")
+def shard_own(spark, d):
+    """The engine's own placement: every shard within a fifth of its part of the ids."""
+    ids = table(spark, d, "arrow_utils").where("id is not null").select("id").distinct().select(H.hash_shard("id", 8).alias("shard"))
+    sizes = ids.groupBy("shard").agg(F.count(F.lit(1)).alias("c"))
+    return sizes.agg((F.max("c") <= 1.4 * F.avg("c")).alias("spread"), F.sum("c").alias("n"))
 
 
 @query("shard_range", "SELECT vec_id, ntile(8) OVER (ORDER BY vec_id) AS shard FROM embeddings")

@@ -287,6 +287,23 @@ def archive_split(spark, d):
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("validate_items", """SELECT id, version, list_filter([CASE WHEN coalesce(json_extract_string(custom, '$.region'), '') = '' THEN 'custom.region: missing' END, CASE WHEN json_extract_string(custom, '$.region') NOT IN ('north', 'south') THEN 'custom.region: not allowed' END,
+  CASE WHEN len(list_filter(tags, lambda t: length(t) > 3)) > 0 THEN 'tags: too long (item)' END], lambda e: e IS NOT NULL) AS errors FROM arrow_utils WHERE len(errors) > 0""")
+def validate_items(spark, d):
+    """Rules on keys inside a JSON column and on the elements of an array."""
+    rules = [N.Rule("custom.region", required=True, allowed=("north", "south")), N.Rule("tags", kind="ARRAY", items=N.Rule("tag", max_length=3))]
+    return N.split_valid(records(spark, d), N.schema_errors(rules))[1].select("id", "version", "errors")
+
+
+@query("validate_default", """SELECT id, version, list_filter([CASE WHEN length(owner) > 255 THEN 'owner: too long' END, CASE WHEN length(category) > 100 THEN 'category: too long' END,
+  CASE WHEN status NOT IN ('active', 'archived', 'deleted', 'draft') THEN 'status: not allowed' END, CASE WHEN length(metadata_source) > 100 THEN 'metadata_source: too long' END,
+  CASE WHEN score < 0 OR score > 1 THEN 'score: out of range' END, CASE WHEN len(list_filter(tags, lambda t: length(t) > 50)) > 0 THEN 'tags: too long (item)' END,
+  CASE WHEN len(list_filter(permissions, lambda t: length(t) > 50)) > 0 THEN 'permissions: too long (item)' END], lambda e: e IS NOT NULL) AS errors, 0 AS warnings FROM arrow_utils""")
+def validate_default(spark, d):
+    """Every record by the default rules."""
+    return records(spark, d).select("id", "version", N.schema_errors(N.DEFAULT_RULES).alias("errors"), F.size(N.schema_warnings(N.DEFAULT_RULES)).alias("warnings"))
+
+
 OLD = "coalesce(uploaded_at < TIMESTAMP '2018-01-08' - INTERVAL 3 DAY, false)"
 
 

@@ -175,10 +175,10 @@ PRE = "trim(regexp_replace(regexp_replace(lower(query_text), '[!-/:-@\\[-`{-~]',
 
 
 @query("preprocess_text", f"""SELECT id, CASE WHEN length(p) <= 15 THEN p ELSE left(p, 15) END AS head, CASE WHEN length(p) <= 15 THEN p ELSE right(p, 15) END AS tail,
-  CASE WHEN length(p) <= 15 THEN p ELSE left(p, 8) || right(p, 7) END AS both_ends FROM (SELECT id, {PRE} AS p FROM query_log)""")
+  CASE WHEN length(p) <= 15 THEN p ELSE left(p, 8) || right(p, 7) END AS both_ends, rpad(p, 15, '.') AS padded FROM (SELECT id, {PRE} AS p FROM query_log)""")
 def preprocess_text(spark, d):
     t = F.col("query_text")
-    return table(spark, d, "query_log").select("id", preprocess(t, max_length=15).alias("head"), preprocess(t, max_length=15, truncate="start").alias("tail"), preprocess(t, max_length=15, truncate="middle").alias("both_ends"))
+    return table(spark, d, "query_log").select("id", preprocess(t, max_length=15).alias("head"), preprocess(t, max_length=15, truncate="start").alias("tail"), preprocess(t, max_length=15, truncate="middle").alias("both_ends"), preprocess(t, max_length=15, pad=".").alias("padded"))
 
 
 # Fusion

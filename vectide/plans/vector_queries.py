@@ -173,3 +173,30 @@ def places(spark, d) -> DataFrame:
     """Customers at made-up coordinates that follow from their keys."""
     key = F.col("c_custkey")
     return table(spark, d, "customer").select("c_custkey", ((key * 37 % 18000) / 100.0 - 90).alias("lat"), ((key * 91 % 36000) / 100.0 - 180).alias("lon"))
+
+
+@query("embed_provider", "SELECT doc_id, length(text)::DOUBLE AS first, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS last FROM documents WHERE text IS NOT NULL")
+def embed_provider(spark, d):
+    """Vectors by a model that each task loads once; here one that counts characters."""
+
+    def load():
+        return lambda texts: [(len(t), t.count("e")) for t in texts]
+
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", V.embedder(load, 2)("text").alias("v"))
+    return rows.select("doc_id", F.element_at("v", 1).alias("first"), F.element_at("v", 2).alias("last"))
+
+
+@query("knn_own_metric", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM
+  (SELECT a.vec_id AS query_id, b.vec_id AS id, round(1 / (1 + list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE)))), 6) AS similarity
+   FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= 10""")
+def knn_own_metric(spark, d):
+    """A metric of one's own: the sum of absolute differences."""
+
+    def block(q, x):
+        import numpy as np
+
+        return np.stack([1 / (1 + np.abs(x - row).sum(axis=1)) for row in q]) if len(q) else np.zeros((0, len(x)))
+
+    V.register_metric("manhattan", lambda a, b: V.similarity_of_distance(V.folded(a, b, lambda x, y: F.abs(x - y))), block)
+    e = embeddings(spark, d)
+    return S.batch_search(e, e.where("vec_id % 100 = 0"), 10, metric="manhattan", id_column="vec_id", values="embedding")
