@@ -194,6 +194,17 @@ class Model:
     #: (subject, documents, labelled, mean posterior, Brier score) on labelled documents that neither trained nor calibrated.
     report: list[tuple]
 
+    def __getstate__(self) -> dict:
+        """Only the slots with weights travel to the tasks."""
+        rows = np.nonzero(self.weights.any(axis=1))[0].astype(np.int32)
+        return self.__dict__ | {"weights": (len(self.weights), rows, self.weights[rows])}
+
+    def __setstate__(self, state: dict) -> None:
+        size, rows, own = state["weights"]
+        weights = np.zeros((size, own.shape[1]), own.dtype)
+        weights[rows] = own
+        self.__dict__.update(state | {"weights": weights})
+
     @staticmethod
     def of(subjects: list[str], counts: np.ndarray, none_at: float) -> Model:
         weights, priors = weigh(counts)
@@ -335,6 +346,7 @@ def fit(documents: DataFrame, labelled: DataFrame, subjects: Sequence[str], roun
             return posteriors(sent.value.scores(bag), named(ids, bag), none_at)
 
         model = Model.of(subjects, _counted(docs, n, expected), none_at)
+        sent.destroy()
     curves = calibrated(own, model, named, known)
 
     def everything(ids: list, bag: Bag, sent=spark.sparkContext.broadcast(model)) -> np.ndarray:
