@@ -72,8 +72,8 @@ def score_index(postings: DataFrame, lengths: DataFrame, query: str, p: Paramete
 BUCKETS = 64
 
 
-def bucket_of(term: str) -> int:
-    return zlib.crc32(term.encode()) % BUCKETS
+def bucket_of(term: str, buckets: int = BUCKETS) -> int:
+    return zlib.crc32(term.encode()) % buckets
 
 
 class Index:
@@ -84,8 +84,9 @@ class Index:
     count as documents without tokens.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, id_type: str = "bigint") -> None:
-        self.spark, self.folder, self.id_type = spark, folder.rstrip("/"), id_type
+    def __init__(self, spark: SparkSession, folder: str, id_type: str = "bigint", buckets: int = BUCKETS) -> None:
+        """buckets: of terms, each a folder of a segment; about a file's worth of postings each is a good number."""
+        self.spark, self.folder, self.id_type, self.buckets = spark, folder.rstrip("/"), id_type, buckets
         self.generation = 0
         self.segments: list[int] = []
         self.removals: list[int] = []
@@ -99,7 +100,7 @@ class Index:
         sized = rows.select("doc_id", F.size("terms").alias("doc_length"), "terms")
         sized.select("doc_id", "doc_length").write.parquet(f"{at}/lengths")
         # one shuffle: where a file's rows are put together, they are counted as well
-        place = [F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("slice")]
+        place = [F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int").alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("slice")]
         each = sized.select("doc_id", "doc_length", F.explode("terms").alias("term")).select("*", *place)
         files = each.repartition(max(self.spark.sparkContext.defaultParallelism, 8), "bucket", "slice")
         posts = files.groupBy("bucket", "slice", "term", "doc_id", "doc_length").agg(F.count(F.lit(1)).cast("int").alias("tf")).drop("slice")
@@ -136,7 +137,7 @@ class Index:
     def postings(self, terms: Sequence[str] | None = None) -> DataFrame:
         """(term, doc_id, tf, doc_length, bucket) of all or of some terms."""
         schema = f"doc_id {self.id_type}, doc_length int, term string, tf int, bucket int"
-        wanted = None if terms is None else F.col("bucket").isin(*{bucket_of(t) for t in terms}) & F.col("term").isin(*terms) if terms else F.lit(False)
+        wanted = None if terms is None else F.col("bucket").isin(*{bucket_of(t, self.buckets) for t in terms}) & F.col("term").isin(*terms) if terms else F.lit(False)
         return self._table("postings", schema, wanted)
 
     def lengths(self) -> DataFrame:

@@ -44,7 +44,7 @@ def index_of(spark, d, fresh: bool = False) -> B.Index:
     """The stored index of a folder's documents, built when it is first asked for in a session."""
     key = (spark.sparkContext.applicationId, d)
     if fresh or key not in _INDEXES:
-        _INDEXES[key] = B.Index(spark, scratch(spark, "bm25")).add(documents(spark, d))
+        _INDEXES[key] = B.Index(spark, scratch(spark, "bm25"), buckets=8).add(documents(spark, d))
     return _INDEXES[key]
 
 
@@ -109,7 +109,7 @@ q AS (SELECT unnest(['payslip', 'gasket', 'payslip']) AS term), dfs AS (SELECT t
 def changed_index(spark, d) -> B.Index:
     """Built in two steps, some documents removed, others given new texts."""
     docs, all_rows = table(spark, d, "documents").select("doc_id", "text", "status"), F.col("doc_id") % 2
-    index = B.Index(spark, scratch(spark, "changed")).add(docs.where(all_rows == 0)).add(docs.where(all_rows == 1))
+    index = B.Index(spark, scratch(spark, "changed"), buckets=8).add(docs.where(all_rows == 0)).add(docs.where(all_rows == 1))
     index.update(docs.where("doc_id % 10 = 3").withColumn("text", F.lit("payslip payslip gasket")))
     return index.remove(docs.where("status = 'failed'"))
 
