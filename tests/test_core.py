@@ -507,3 +507,40 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         with pytest.raises(RuntimeError):
             own.shared_folder(Fake())
+
+
+def access_tables(spark, folder, users, dbs):
+    spark.createDataFrame(users, "c_custkey bigint, c_nationkey int").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame(dbs, "s_suppkey bigint, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+
+
+def test_granted_databases_with_repeated_missing_and_negative_ids(spark, tmp_path):
+    from collections import Counter
+
+    from vectide.plans.storage_queries import rbac_check, rbac_db_perms
+
+    rng = random.Random(5)
+    users, dbs = ([(rng.choice([None, *range(-60, 140)]), rng.choice([None, 0, 1, 2, 3, 7])) for _ in range(n)] for n in (400, 150))
+    access_tables(spark, tmp_path, users, dbs)
+    want = {(u, d) for u, g in users for d, h in dbs if (None not in (u, d) and math.fmod(u, 50) == math.fmod(d, 50)) or (g is not None and g == h)}
+    got = [tuple(r) for r in rbac_db_perms(spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter(want) and len(got) > 5000
+    assert {tuple(r) for r in rbac_check(spark, str(tmp_path)).collect()} == {(u, u is not None and (u, 7) in want) for u, _ in users}
+
+
+def test_granted_pairs_are_not_exchanged(spark, tmp_path):
+    from vectide.plans.storage_queries import rbac_db_perms
+
+    access_tables(spark, tmp_path, [(i, i % 2) for i in range(1500)], [(i, i % 2) for i in range(200)])
+
+    def exchanged():
+        sc = spark.sparkContext
+        jvm, no = sc._jvm, sc._gateway.new_array(sc._jvm.double, 0)
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, no, jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before = exchanged()
+    rbac_db_perms(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    written = sum(n for k, n in exchanged().items() if k not in before)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1500 * 100 and written < 20_000

@@ -242,20 +242,25 @@ GRANT = f"""{RBAC}, granted AS (SELECT c_custkey AS user_id, s_suppkey AS databa
   UNION SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey)"""
 
 
+def holders(spark, d):
+    """Users and databases, each with an own key and a group."""
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50).alias("own"), F.col("c_nationkey").alias("group_id"))
+    return users, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 50).alias("own"), F.col("s_nationkey").alias("group_id"))
+
+
 @query("rbac_db_perms", f"{GRANT} SELECT * FROM granted")
 def rbac_db_perms(spark, d):
     """Databases granted to users directly or by their groups."""
-    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("group_id"))
-    dbs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("database_id"), F.col("s_nationkey").alias("group_id"))
-    direct = users.withColumn("k", F.col("user_id") % 50).join(dbs.withColumn("k", F.col("database_id") % 50).select("k", "database_id"), "k").select("user_id", "database_id")
-    return direct.union(users.join(dbs, "group_id").select("user_id", "database_id")).distinct()
+    return Y.databases_of_users(*holders(spark, d))
 
 
 @query("rbac_check", f"{GRANT} SELECT u.c_custkey AS user_id, count(g.database_id) > 0 AS allowed FROM customer u LEFT JOIN granted g ON g.user_id = u.c_custkey AND g.database_id = 7 GROUP BY 1")
 def rbac_check(spark, d):
     """Whether each user may use one database."""
-    own = rbac_db_perms(spark, d).where("database_id = 7")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).join(own, "user_id", "left").groupBy("user_id").agg((F.count("database_id") > 0).alias("allowed"))
+    users, dbs = holders(spark, d)
+    one = dbs.where("id = 7").withColumnRenamed("id", "database_id")
+    own = users.join(one.select("own", "database_id"), "own").select("id", "database_id").union(users.join(one.select("group_id", "database_id"), "group_id").select("id", "database_id")).distinct()
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).join(own.withColumnRenamed("id", "user_id"), "user_id", "left").groupBy("user_id").agg((F.count("database_id") > 0).alias("allowed"))
 
 
 # Validation and lifecycle
